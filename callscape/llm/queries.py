@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callscape.llm import licenses, linededup, secrets
+from callscape.llm import ann, embdedup, jaccard, licenses, linededup, secrets
 
 
 def _docs(spark, sf_dir):
@@ -13,6 +13,14 @@ def op2_line_dedup(spark, sf_dir):
     return linededup.digest(_docs(spark, sf_dir))
 
 
+def op4_nearest(spark, sf_dir):
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_embedding_dedup(spark, sf_dir):
+    return embdedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_license_scan(spark, sf_dir):
     return licenses.scan(_docs(spark, sf_dir))
 
@@ -21,4 +29,8 @@ def op9_secret_scan(spark, sf_dir):
     return secrets.scan(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op8_license_scan, op9_secret_scan)}
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.join(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_nearest, op7_embedding_dedup, op8_license_scan, op9_secret_scan, op10_jaccard_join)}
