@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from callscape.llm import ann, embdedup, jaccard, licenses, linededup, secrets
+import public_tokenizers
+from callscape.llm import ann, embdedup, jaccard, licenses, linededup, packing, pieces, secrets
 
 
 def _docs(spark, sf_dir):
@@ -13,10 +14,18 @@ def op2_line_dedup(spark, sf_dir):
     return linededup.digest(_docs(spark, sf_dir))
 
 
+def op3_packing(spark, sf_dir):
+    return packing.pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_nearest(spark, sf_dir):
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_sentencepiece(spark, sf_dir):
+    return pieces.digest(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_embedding_dedup(spark, sf_dir):
     return embdedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -33,4 +42,4 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.join(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_nearest, op7_embedding_dedup, op8_license_scan, op9_secret_scan, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_packing, op4_nearest, op6_sentencepiece, op7_embedding_dedup, op8_license_scan, op9_secret_scan, op10_jaccard_join)}
