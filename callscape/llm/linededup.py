@@ -10,6 +10,7 @@ enough documents hold, and which document keeps each.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from callscape.llm.store import Store
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
+#: Runs have a bucket for so many documents.
+BUCKET_DOCS = 50_000
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,61 +42,57 @@ def _hash(key: Column) -> Column:
 class Runs:
     """Levelled sorted runs of keys, and increments of keys already in them.
 
-    Runs hold disjoint keys: a batch is merge-anti-joined with them and only its new keys become
-    a run. What a batch adds to known keys goes to an increment table. Tables lie in the
-    warehouse, which executors share, bucketed and sorted by hash: these joins shuffle nothing.
+    Runs hold disjoint keys: a batch is merge-anti-joined with them and only its new keys (met = 0) become
+    a run; what it adds to known keys (met = 1) lies beside it. Tables lie in the warehouse, which
+    executors share, bucketed and sorted by hash, so that these joins shuffle nothing.
     """
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets = spark, buckets
         self.prefix = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
-        self.increments: list[str] = []
+        self.batches: list[str] = []
         self.made = 0
 
-    def _write(self, df: DataFrame) -> str:
+    def write(self, df: DataFrame, part: str, deal: bool) -> str:
         self.made += 1
         table = f"{self.prefix}_{self.made}"
-        df.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h", "g").saveAsTable(table)
+        if deal:
+            df = df.repartition(self.buckets, "h").coalesce(self.buckets)
+        df.write.format("parquet").partitionBy(part).bucketBy(self.buckets, "h").sortBy("h", "g").saveAsTable(table)
         return table
 
-    def _union(self, tables: list[str]) -> DataFrame:
-        # One plain scan of all files: Spark 4.1 takes a union of bucketed scans for partitioned by their key, which it isn't.
+    def _scan(self, tables: list[str]) -> DataFrame:
+        # Plain scans of the files: Spark 4.1 takes a union of bucketed scans for partitioned by their key, which it isn't.
         home = self.spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        return self.spark.read.schema(self.spark.table(tables[0]).schema).parquet(*(f"{home}/{t}" for t in tables))
+        plain = self.spark.read.schema("h long, g long, n_docs long, max_doc long, met int")
+        return reduce(DataFrame.unionByName, (plain.parquet(f"{home}/{t}") for t in tables))
 
     def _runs(self) -> list[str]:
         return [t for level in self.levels for t in level]
 
     def add(self, batch: DataFrame) -> None:
-        """batch: one row (h, g, n_docs, max_doc) per key."""
-        staged = self._write(batch.repartition(self.buckets, "h"))
-        fresh, known = self.spark.table(staged), []
-        for run in self._runs():
-            fresh = fresh.join(self.spark.table(run).select("h", "g"), ["h", "g"], "left_anti")
-            met = self.spark.table(staged).join(self.spark.table(run).select("h", "g"), ["h", "g"], "left_semi")
-            known.append(met)
-        if not known:
-            self.levels[0].append(staged)
-        else:
-            self.levels[0].append(self._write(fresh))
-            self.increments += [self._write(met) for met in known]
-            self.spark.sql(f"DROP TABLE {staged}")
-        self._compact()
-
-    def _compact(self) -> None:
+        """batch: one row (h, g, n_docs, max_doc) per key, bucketed by h."""
+        met = F.lit(False)
+        for i, run in enumerate(self._runs()):
+            keys = self.spark.table(run).where("met = 0").select("h", "g", F.lit(1).alias(f"hit{i}"))
+            batch = batch.join(keys, ["h", "g"], "left")
+            met = met | F.col(f"hit{i}").isNotNull()
+        table = self.write(batch.select("h", "g", "n_docs", "max_doc", met.cast("int").alias("met")), "met", deal=False)
+        self.batches.append(table)
+        self.levels[0].append(table)
         level = 0
         while len(self.levels[level]) >= FANOUT:
             if level + 1 == len(self.levels):
                 self.levels.append([])
             old, self.levels[level] = self.levels[level], []
-            self.levels[level + 1].append(self._write(self._union(old).repartition(self.buckets, "h")))
-            self._drop(old)
+            self.levels[level + 1].append(self.write(self._scan(old).where("met = 0"), "met", deal=True))
+            self._drop([t for t in old if t not in self.batches])
             level += 1
 
     def totals(self, min_docs: int) -> DataFrame:
-        """(h, g, n_docs, max_doc) of the keys held by at least min_docs documents."""
-        parts = self._union(self._runs() + self.increments)
+        """(h, g, n_docs, max_doc) of the keys held by at least min_docs documents: runs, and all increments."""
+        parts = self._scan(self._runs()).where("met = 0").unionByName(self._scan(self.batches).where("met = 1"))
         return parts.groupBy("h", "g").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")).where(F.col("n_docs") >= min_docs)
 
     def _drop(self, tables: list[str]) -> None:
@@ -101,8 +100,8 @@ class Runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
 
     def close(self) -> None:
-        self._drop(self._runs() + self.increments)
-        self.levels, self.increments = [[]], []
+        self._drop([*self._runs(), *self.batches])
+        self.levels, self.batches = [[]], []
 
 
 def _without(lines: pd.Series, drops: pd.Series) -> pd.Series:
@@ -128,7 +127,6 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     """
     spark = docs.sparkSession
     store = Store(spark, "linededup")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     trimmed = F.transform(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(SPACES)))
     keys = F.transform(
         F.filter(F.transform(trimmed, lambda x, i: F.struct(x.alias("x"), i.alias("pos"))), lambda s: F.char_length(s["x"]) >= min_chars),
@@ -141,13 +139,13 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
     held = placed.select("doc_id", batch, F.explode(F.array_distinct(F.transform("keys", lambda s: s["k"]))).alias("k"))
     held = held.groupBy("batch", F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-    held = store.save(held, "held")
-    runs = Runs(spark, buckets)
+    runs = Runs(spark, max(8, placed.count() // BUCKET_DOCS))
+    staged = runs.write(held.select("h", "g", "n_docs", "max_doc", "batch"), "batch", deal=True)
     for b in range(batches):
-        runs.add(held.where(F.col("batch") == b).drop("batch"))
+        runs.add(spark.table(staged).where(F.col("batch") == b))
     hot = store.save(runs.totals(min_docs), "hot")
     runs.close()
-    store.drop("held")
+    spark.sql(f"DROP TABLE {staged}")
     found = placed.select("doc_id", "text_hash", F.explode("keys").alias("s")).select("doc_id", "text_hash", F.col("s.pos").alias("pos"), F.col("s.k.h").alias("h"), F.col("s.k.g").alias("g"))
     drops = (
         found.join(hot.select("h", "g", "max_doc"), ["h", "g"])
