@@ -30,7 +30,14 @@ class Store:
         writer = df.write
         for key, value in options.items():
             writer = writer.option(key, value)
-        writer.parquet(path)
+        # What the written table cuts off needs no shuffle files any more: they go when the write has succeeded.
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
