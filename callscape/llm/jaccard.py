@@ -9,7 +9,12 @@ many empty segments that pigeonhole may fail also indexes its segments' one-dele
 either, every element. How many segments a band has beyond H + 1 is allocated by cost: more
 segments for all sets against more neighbourhoods for few.
 
-Sets that share an index entry form clusters, in which all pairs are compared block by block
+Linked sets agree in m - H segments, not in one only. In a total order of all entries by how
+many sets hold them, each set may thus leave out its m - H - 1 commonest (empty segments
+count as such): the rarest entry that a pair agrees on is then left out by neither. So passages that
+many texts share don't tie these texts together. SPARE keeps m - H a fixed part of m.
+
+Sets that share a remaining entry form clusters, in which all pairs are compared block by block
 inside tasks, exactly, so that no pair is ever a row.
 """
 
@@ -31,7 +36,11 @@ from callscape.llm.shingles import U, mix, shingles, slices
 from callscape.llm.store import Store
 
 #: Ratio of the sizes at a band's ends.
-BAND = 1.5
+BAND = 1.3
+#: Segments beyond H + 1 for each of H, at the least.
+SPARE = 0.5
+#: Low bits of an entry that name its band's scheme.
+SCHEMES = 64
 #: Sets and elements that a comparison block holds at most (a single set may be larger).
 BLOCK_SETS, BLOCK_ELEMENTS = 128, 1_000_000
 
@@ -57,7 +66,7 @@ def _allocate(lo: int, hi: int, differ: int) -> int:
             p *= mean / (i + 1)
         return m + max(0.0, 1 - below) * size
 
-    first = differ + 1
+    first = differ + 1 + math.ceil(SPARE * differ)
     return min(range(first, first + max(4, first // 3)), key=cost)
 
 
@@ -75,8 +84,8 @@ def bands(num: int, den: int, largest: int) -> tuple[Band, ...]:
     return tuple(found)
 
 
-def _entries(h: np.ndarray, begin: np.ndarray, which: np.ndarray, band: Band, nth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, index entry) of the texts `which` in one band's scheme; h is sorted by text and hash."""
+def _entries(h: np.ndarray, begin: np.ndarray, which: np.ndarray, band: Band, nth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, index entry) of the texts `which` in one band's scheme, and how many entries each of `which` may leave out; h is sorted by text and hash."""
     sizes = begin[which + 1] - begin[which]
     owner = np.repeat(np.arange(len(which)), sizes)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[which][owner]
@@ -94,7 +103,8 @@ def _entries(h: np.ndarray, begin: np.ndarray, which: np.ndarray, band: Band, nt
     text = cells // m
     out_text, out_entry = [which[text]], [entry]
     full = np.bincount(text, minlength=len(which))
-    poor = m - full > m - band.differ - 1  # too many empty segments
+    spare = (m - band.differ - 1) - (m - full)
+    poor = spare < 0  # too many empty segments
     if poor.any():
         of_cell = np.repeat(np.arange(len(starts)), lengths)
         pick = poor[owner] & (lengths[of_cell] > 1)
@@ -105,24 +115,27 @@ def _entries(h: np.ndarray, begin: np.ndarray, which: np.ndarray, band: Band, nt
         pick = last[owner]
         out_text.append(which[owner[pick]])
         out_entry.append(mix(element[pick] + U((nth << 40) + 0xE7037ED1A0B428DB)))
-    return np.concatenate(out_text), np.concatenate(out_entry)
+    scheme = U(nth % SCHEMES)
+    return np.concatenate(out_text), np.concatenate(out_entry) & ~U(SCHEMES - 1) | scheme, np.maximum(spare, 0)
 
 
-def index_entries(h: np.ndarray, begin: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, entry) for all texts, ordered by text."""
+def index_entries(h: np.ndarray, begin: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, entry) for all texts, ordered by text; and (text, entries it may leave out * SCHEMES + scheme), likewise."""
     sizes = np.diff(begin)
-    texts, entries = [], []
+    texts, entries, owners, spares = [], [], [], []
     for nth, band in enumerate(bands(num, den, int(sizes.max(initial=1)))):
         which = np.flatnonzero((sizes >= band.least) & (sizes <= band.hi) & (sizes > 0))
         if len(which):
-            t, e = _entries(h, begin, which, band, nth)
+            t, e, spare = _entries(h, begin, which, band, nth)
             texts.append(t)
             entries.append(e)
+            owners.append(which)
+            spares.append((spare * SCHEMES + nth % SCHEMES).astype(np.uint64))
     if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    text, entry = np.concatenate(texts), np.concatenate(entries)
-    order = np.argsort(text, kind="stable")
-    return text[order], entry[order]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    text, entry, owner, spare = map(np.concatenate, (texts, entries, owners, spares))
+    order, by_owner = np.argsort(text, kind="stable"), np.argsort(owner, kind="stable")
+    return text[order], entry[order], owner[by_owner], spare[by_owner]
 
 
 def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
@@ -144,7 +157,7 @@ def _index(k: int, num: int, den: int):
                 a = np.concatenate([[U(0)], np.cumsum(mix(h))])
                 b = np.concatenate([[U(0)], np.cumsum(mix(h + U(0x8EBC6AF09C88C6E3)))])
                 d1, d2 = (a[begin[1:]] - a[begin[:-1]]).view(np.int64), (b[begin[1:]] - b[begin[:-1]]).view(np.int64)
-                text, entry = index_entries(h, begin, num, den)
+                text, entry, owner, spare = index_entries(h, begin, num, den)
                 fresh = np.zeros(last - first, bool)
                 for i, digest in enumerate(zip(d1.tolist(), d2.tolist())):
                     if digest not in seen:
@@ -154,41 +167,26 @@ def _index(k: int, num: int, den: int):
                     seen.clear()
                 keep = fresh[text]
                 text, entry = text[keep], entry[keep]
-                lists = _lists(entry, np.searchsorted(text, np.arange(last - first + 1)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n), pa.array(d1), pa.array(d2), lists], names=["id", "n_shingles", "d1", "d2", "entries"])
+                keep = fresh[owner]
+                owner, spare = owner[keep], spare[keep]
+                every = np.arange(last - first + 1)
+                lists = _lists(entry, np.searchsorted(text, every)), _lists(spare, np.searchsorted(owner, every))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n), pa.array(d1), pa.array(d2), *lists], names=["id", "n_shingles", "d1", "d2", "entries", "spare"])
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (entry, id): each id with the first id of its entry, where they differ."""
-    last_entry = last_hub = None
-    pending: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-
-    def out(parts):
-        pairs = np.unique(np.stack([np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    for batch in batches:
-        entry, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(entry):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-        hubs = ids[starts]
-        if last_entry is not None and entry[0] == last_entry:
-            hubs[0] = last_hub
-        hub = np.repeat(hubs, np.diff(np.concatenate([starts, [len(entry)]])))
-        last_entry, last_hub = entry[-1], hub[-1]
-        other = hub != ids
-        if other.any():
-            pending.append((ids[other], hub[other]))
-            n += int(other.sum())
-        if n > 500_000:
-            yield out(pending)
-            pending, n = [], 0
-    if pending:
-        yield out(pending)
+def _meets(indexed: DataFrame, store: Store) -> DataFrame:
+    """(u, v): ids with the least id that keeps one of the same entries. A hot entry is a skewed join key only, its counts are aggregated beforehand."""
+    entries = indexed.select(F.explode("entries").alias("entry"), "id")
+    held = entries.groupBy("entry").agg(F.count("*").alias("held")).where("held > 1")
+    shared = store.save(entries.join(held, "entry").withColumn("scheme", F.pmod("entry", F.lit(SCHEMES))), "shared")
+    spare = indexed.select("id", F.explode("spare").alias("s")).groupBy("id", F.pmod("s", F.lit(SCHEMES)).alias("scheme")).agg(F.min(F.floor(F.col("s") / SCHEMES)).alias("spare"))
+    commonest = W.partitionBy("id", "scheme").orderBy(F.desc("held"), "entry")
+    kept = shared.join(spare, ["id", "scheme"]).withColumn("nth", F.row_number().over(commonest)).where("nth > spare").select("entry", "id")
+    kept = store.save(kept, "kept")
+    hub = kept.groupBy("entry").agg(F.min("id").alias("v"), F.max("id").alias("top")).where("v < top").drop("top")
+    return store.save(kept.join(hub, "entry").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "meets")
 
 
 def _sets(k: int):
@@ -279,17 +277,14 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
     source = docs.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    indexed = store.save(source.mapInArrow(_index(k, num, den), "id long, n_shingles long, d1 long, d2 long, entries array<long>"), "indexed")
+    indexed = store.save(source.mapInArrow(_index(k, num, den), "id long, n_shingles long, d1 long, d2 long, entries array<long>, spare array<long>"), "indexed")
     # Equal sets are one set, of the smallest id.
     sets = indexed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"))
     sets = store.save(sets, "sets")
     reps = indexed.select("id", "n_shingles", "d1", "d2").join(sets, ["n_shingles", "d1", "d2"], "left").select("id", "n_shingles", "rep")
     reps = store.save(reps.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))), "reps")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = indexed.where("id IS NOT NULL").select(F.explode("entries").alias("entry"), "id")
-    meets = entries.repartition(parts, "entry").sortWithinPartitions("entry", "id").mapInArrow(_meet, "u long, v long").distinct()
-    meets = store.save(meets, "meets")
-    store.drop("indexed")
+    meets = _meets(indexed.where("id IS NOT NULL"), store)
+    store.drop("indexed", "shared", "kept")
     to = store.save(reps.where("id <> rep").select("id", "rep").distinct(), "equal")
     for side in ("u", "v"):
         meets = meets.join(to.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
