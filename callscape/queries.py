@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from callscape.fixtures import Fixtures, oracle
+from callscape.more_queries import MORE, MORE_ORACLES
 from callscape.operators import graph
 
 HUBS, THRESHOLD, NAME, PATTERN = 100, 10, "s:3", "widget_1"
@@ -49,7 +50,7 @@ def search_functions(spark, d):
     return graph.search_functions(Fixtures(spark, d).nodes, PATTERN).select("id", "name")
 
 
-QUERIES = {q.__name__: q for q in (dead_code, in_degree, hub_set, phantom_nodes, callers_of, function_nodes, complexity_hotspots, attack_surface, search_functions)}
+QUERIES = {q.__name__: q for q in (dead_code, in_degree, hub_set, phantom_nodes, callers_of, function_nodes, complexity_hotspots, attack_surface, search_functions)} | MORE
 
 WITH = "WITH " + ", ".join(f"{v} AS ({oracle(v)})" for v in ("edges", "nodes", "entrypoints")) + " "
 FUNCTIONS = "kind IN ('function', 'method')"
@@ -66,4 +67,4 @@ ORACLES = {
         "attack_surface": "SELECT node_id, name, kind, trust_level FROM entrypoints JOIN nodes ON node_id = id",
         "search_functions": f"SELECT id, name FROM nodes WHERE {FUNCTIONS} AND (regexp_matches(name, '(?i){PATTERN}') OR regexp_matches(qualified_name, '(?i){PATTERN}'))",
     }.items()
-}
+} | MORE_ORACLES
