@@ -78,7 +78,7 @@ class Fixtures:
     def view(self, name: str) -> DataFrame:
         sql = VIEWS[name]
         needed = {n: self.table(n) for n in TABLES if f"{{{n}}}" in sql} | {n: getattr(self, n) for n in VIEWS if f"{{{n}}}" in sql}
-        return self.spark.sql(sql, **needed)
+        return self.spark.sql(sql.replace("{}", "{{}}"), **needed)
 
     edges = cached_property(lambda self: self.view("edges"))
     nodes = cached_property(lambda self: self.view("nodes"))

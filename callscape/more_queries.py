@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from callscape.fixtures import VIEWS, Fixtures, oracle
-from callscape.operators import graph, lines, rank, traverse
+from callscape.operators import graph, lines, paging, rank, retrieve, traverse
 from callscape.sources import files
 
 ROOT, SINK, CONST = "p:7", "s:3", "kMax"
@@ -34,7 +34,7 @@ def _query(sql: str | None = None):
         if sql:
             body = sql.removeprefix("WITH RECURSIVE ")
             views = ", ".join(f"{v} AS ({oracle(v)})" for v in _views(body))
-            MORE_ORACLES[f.__name__] = "WITH RECURSIVE " + views + (", " if body is not sql else " ") + body
+            MORE_ORACLES[f.__name__] = "WITH RECURSIVE " + views + (", " if body is not sql else " ") + body if views else sql
         return f
 
     return add
@@ -357,3 +357,60 @@ def incremental_changed(f):
 @_query("SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS name, count(*) AS estimated_files FROM files GROUP BY 1")
 def plan_partitions(f):
     return files.partitions(f.files)
+
+
+@_query("SELECT src, dst, 'calls' AS kind FROM edges")
+def call_edges(f):
+    return f.edges.select("src", "dst", F.lit("calls").alias("kind"))
+
+
+@_query("SELECT id, kind FROM nodes_a UNION SELECT id, kind FROM nodes_b")
+def graph_merge(f):
+    return graph.merge(f.nodes_a, f.nodes_b).select("id", "kind")
+
+
+@_query("SELECT 20 AS depth, 5000 AS max_results, 0 AS start_at, 1 AS hub_threshold")
+def clamp_bounds(f):
+    return f.spark.createDataFrame([paging.clamp(999, 99999, -5, 0)], "depth int, max_results int, start_at int, hub_threshold int")
+
+
+@_query(f"SELECT count(*) AS total, count(*) FILTER (WHERE n > 2 AND n <= 7) AS returned, true AS truncated FROM (SELECT row_number() OVER (ORDER BY src) AS n FROM (SELECT DISTINCT src FROM edges WHERE dst = '{SINK}' AND src <> '{SINK}'))")
+def bounded_envelope(f):
+    return paging.envelope(graph.callers(f.nodes, f.edges, SINK), limit=5, offset=2)
+
+
+@_query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines FROM documents WHERE text IS NOT NULL")
+def source_lines(f):
+    return files.lines(f.table("documents").where("text IS NOT NULL").select("doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.count("*").cast("int").alias("n_lines"))
+
+
+@_query("WITH RECURSIVE hits AS (SELECT file, line_no FROM lines WHERE contains(text, 'static_assert')) SELECT file, line_no, id FROM (SELECT h.file, h.line_no, id, row_number() OVER (PARTITION BY h.file, h.line_no ORDER BY end_line - start_line, id) AS n FROM hits h JOIN nodes ON file_path = h.file AND h.line_no BETWEEN start_line AND end_line) WHERE n = 1")
+def augment_sarif(f):
+    return rank.locate(f.nodes, f.lines.where(F.col("text").contains("static_assert")).select("file", "line_no")).select("file", "line_no", "id")
+
+
+@_query("SELECT lang AS language, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def chunk_stats(f):
+    return f.table("documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+TERMS = ["license", "copyright"]
+_TF = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(TERMS))
+_DF = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in range(len(TERMS)))
+_SCORE = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / al))" for i in range(len(TERMS)))
+_ANY = " OR ".join(f"f{i} > 0" for i in range(len(TERMS)))
+
+
+@_query(
+    f"WITH RECURSIVE tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents), tf AS (SELECT doc_id, len(t) AS dl, {_TF} FROM tok), "
+    f"st AS (SELECT count(*) AS n, avg(dl) AS al, {_DF} FROM tf) SELECT doc_id, round(CAST({_SCORE} AS DOUBLE), 6) AS score FROM tf, st WHERE {_ANY} ORDER BY round(CAST({_SCORE} AS DOUBLE), 6) DESC, doc_id LIMIT 10"
+)
+def semantic_search(f):
+    return retrieve.bm25(f.table("documents"), "doc_id", TERMS, 10)
+
+
+@_query(
+    "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 1)), 6) AS score FROM embeddings WHERE vec_id <> 1 AND embedding IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 5"
+)
+def find_related(f):
+    return retrieve.related(f.table("embeddings"), 1, 5)

@@ -59,3 +59,11 @@ def search_functions(nodes: DataFrame, pattern: str) -> DataFrame:
     """Functions whose name or qualified name matches, whatever the case."""
     p = "(?i)" + pattern
     return functions(nodes).where(F.col("name").rlike(p) | F.col("qualified_name").rlike(p))
+
+
+def merge(*parts: DataFrame) -> DataFrame:
+    """The union of node tables, one row an id."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.dropDuplicates(["id"])

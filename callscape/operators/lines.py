@@ -60,7 +60,7 @@ def bitfield_risks(lines: DataFrame) -> DataFrame:
     first = W.partitionBy("stem").orderBy("file", "line_no")
     constants = constants.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("stem", "constant")
     rows = fields.withColumn("stem", F.regexp_replace("name", "Field$", "")).join(asserted, "name", "left").join(constants, "stem", "left")
-    capacity = F.shiftleft(F.lit(1).cast("long"), F.col("bits"))
+    capacity = F.expr("shiftleft(1L, bits)")
     margin = capacity - F.col("constant")
     tight = F.round(F.lit(100.0) * margin / capacity, 1) < 5
     risk = F.when(margin <= 0, "overflow").when(tight, "tight").when(F.col("protected").isNull() & (F.col("bits") >= 14), "unprotected").otherwise("safe")

@@ -82,3 +82,10 @@ def diff(before: DataFrame, after: DataFrame, key: str, *payload: str) -> DataFr
     b = after.select(F.col(key), F.struct(*payload).alias("b"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return a.join(b, key, "full").select(key, change.alias("change")).where("change IS NOT NULL")
+
+
+def locate(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """Places (file, line_no) with the innermost node around each: the smallest span, then id."""
+    inside = (F.col("file") == F.col("file_path")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
+    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "id"))
+    return places.distinct().join(nodes, inside).groupBy("file", "line_no").agg(best.alias("best")).select("file", "line_no", "best.id")

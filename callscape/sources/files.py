@@ -68,3 +68,9 @@ def partitions(files: DataFrame) -> DataFrame:
     """Files by top-level folder, '.' for those at the root."""
     top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(".")
     return files.groupBy(top.alias("name")).agg(F.count("*").alias("estimated_files"))
+
+
+def lines(texts: DataFrame, key: str) -> DataFrame:
+    """(key, line_no from 1, text) of each line of texts (key, text)."""
+    split = texts.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return split.select(key, (F.col("pos") + 1).alias("line_no"), F.col("line").alias("text"))
