@@ -4,24 +4,30 @@ Encoding is by backtracking: Aho-Corasick gives the vocabulary pieces that begin
 the left the longest piece is taken that is compatible with the one before it, that is, merging the two
 pieces' text afresh gives just the two. Where none fits, the position is marked as failed in a bit
 field and the piece before it gives way to a shorter one. A sequence whose neighbours are all compatible is
-the one that merging the whole gives.
+the one that merging the whole gives. Mostly the longest matches are compatible as they are, so they are tried first.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words and pairs of pieces that a task remembers.
-REMEMBER = 300_000
+#: Words, and pairs of pieces, that a task remembers.
+REMEMBER, PAIRS = 300_000, 600_000
+#: Texts of up to so many characters are merged by scanning a list instead of a queue.
+SCANNED = 64
+#: The score of what is no piece.
+NONE = float("-inf")
 
 
 class PieceBPE:
@@ -50,27 +56,55 @@ class PieceBPE:
         self.unknown_text = train.unk_surface
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.score = [p.score for p in model.pieces]
+        self.score_of = {p: self.score[i] for p, i in self.id.items()}
         # What has no piece of its own goes to bytes, so a longer piece with such a character would break that.
         if any(c not in self.id for p in self.id for c in p):
             raise ValueError("a character of a piece is no piece itself")
-        # Words can be encoded one by one if no piece holds a space mark after another character.
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.id)
+        self.characters = {p for p in self.id if len(p) == 1}
+        # Characters without a piece stand alone. So do words, if no piece holds a space mark after another character.
+        self.by_word = SPACE in self.characters and not any(SPACE in p.lstrip(SPACE) for p in self.id)
+        within = "".join(map(re.escape, sorted(self.characters - {SPACE} if self.by_word else self.characters)))
+        self.stretches = re.compile(f"{SPACE}*[{within}]+|{SPACE}+|[^{within}{SPACE}]+" if self.by_word else f"[{within}]+|[^{within}]+")
         scores = [self.score[i] for i in self.id.values() if len(self.text[i]) > 1]
         tied = {s for s, n in Counter(scores).items() if n > 1}
-        self.characters = {p for p in self.id if len(p) == 1}
         self.tied = {self.text[i] for i in self.id.values() if self.score[i] in tied and len(self.text[i]) > 1}
         self.tied_spaces = all(set(t) == {SPACE} for t in self.tied)
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
+        self.size = list(map(len, self.text))
+        #: The longest other piece that a piece begins with, or -1.
+        self.shorter = [next((self.id[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id), -1) for p in self.text]
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.single: dict[int, bool] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str, str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.words: dict[str, tuple[tuple[int, ...], int, str, str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], int, str, str]] = {}
+        self.special = self.silent | self.unknown | set(self.byte_of)
 
     def merge(self, text: str) -> list[int]:
         """Ids by merging, best score first and leftmost among equals: the definition."""
+        out: list[int] = []
+        for p in self._scanned(text) if len(text) <= SCANNED else self._queued(text):
+            k = self.id.get(p)
+            out += [k] if k is not None else [self.byte[b] for b in p.encode("utf-8")]
+        return out
+
+    def _scanned(self, text: str) -> list[str]:
+        """The parts of a short text: every pair's score in a list, of which the first best is merged."""
+        parts, score = list(text), self.score_of.get
+        offers = [score(x + y, NONE) for x, y in pairwise(parts)]
+        while offers and (best := max(offers)) > NONE:
+            i = offers.index(best)
+            parts[i] += parts.pop(i + 1)
+            del offers[i]
+            if i < len(offers):
+                offers[i] = score(parts[i] + parts[i + 1], NONE)
+            if i:
+                offers[i - 1] = score(parts[i - 1] + parts[i], NONE)
+        return parts
+
+    def _queued(self, text: str) -> list[str]:
+        """The parts of any text, from a queue of offers."""
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         queue: list[tuple[float, int, str]] = []
@@ -93,112 +127,81 @@ class PieceBPE:
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        out: list[int] = []
-        for p in parts:
-            if p is not None:
-                k = self.id.get(p)
-                out += [k] if k is not None else [self.byte[b] for b in p.encode("utf-8")]
-        return out
+        return [p for p in parts if p is not None]
 
     def fits(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > REMEMBER:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.text[a] + self.text[b]) == [a, b]
+        """Whether merging the text of both pieces gives just the two; for a = -1, whether merging the text of b gives b."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        known = self.merge(self.text[b]) == [b] if a < 0 else self.merge(self.text[a] + self.text[b]) == [a, b]
+        self.pairs[a, b] = known
         return known
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a stretch whose every character is a piece."""
+        known, size, shorter = self.pairs.get, self.size, self.shorter
+        longest = [k for _, k in self.automaton.iter_long(text)]
+        if known((-1, longest[0])) and all(map(known, pairwise(longest))):
+            return longest
         n = len(text)
-        starts: list[list[int]] = [[] for _ in range(n)]
+        first = [0] * n  # the longest piece that begins at each place: ends ascend, so the last one written
         for end, k in self.automaton.iter(text):
-            starts[end + 1 - len(self.text[k])].append(k)
+            first[end + 1 - size[k]] = k
         failed = bytearray(n + 1)
-        # At each place the matches come shortest first, as their ends ascend; taken from the back.
         out: list[int] = []
-        choice = [len(starts[0]) - 1]
-        at = 0
+        at, last, k = 0, -1, first[0]
         while at < n:
-            options, c = starts[at], choice[-1]
-            last = out[-1] if out else None
-            while c >= 0:
-                k = options[c]
-                end = at + len(self.text[k])
-                if not failed[end] and (last is None and self.alone(k) or last is not None and self.fits(last, k)):
-                    break
-                c -= 1
-            if c >= 0:
-                choice[-1] = c
+            while k >= 0:
+                end = at + size[k]
+                if not failed[end]:
+                    fit = known((last, k))
+                    if fit or fit is None and self.fits(last, k):
+                        break
+                k = shorter[k]
+            if k >= 0:
                 out.append(k)
-                at = end
-                choice.append(len(starts[at]) - 1 if at < n else -1)
-            else:
-                if not out:
-                    return self.merge(text)
+                at, last = end, k
+                if at < n:
+                    k = first[at]
+            elif out:
                 failed[at] = 1
-                choice.pop()
-                at -= len(self.text[out.pop()])
-                choice[-1] -= 1
+                k = out.pop()
+                at -= size[k]
+                last, k = out[-1] if out else -1, shorter[k]
+            else:
+                return self.merge(text)
         return out
 
-    def alone(self, k: int) -> bool:
-        """Whether merging the piece's own text gives the piece."""
-        known = self.single.get(k)
-        if known is None:
-            known = self.single[k] = self.merge(self.text[k]) == [k]
-        return known
-
-    def _word(self, word: str) -> tuple[tuple[int, ...], str, str]:
-        """(ids, the ids written out, the text that they decode to, with space marks)."""
-        found = self.words.get(word)
-        if found is None:
-            found = self.older.get(word)
+    def _word(self, word: str) -> tuple[tuple[int, ...], int, str, str]:
+        """(ids, their number, the ids written out, the text that they decode to, with space marks) of a stretch."""
+        found = self.older.get(word)
         if found is None:
-            ids: list[int] = []
-            if self.tied and (not self.tied_spaces or SPACE * 2 in word) and any(t in word for t in self.tied):  # the order of equal scores isn't a matter of neighbours
+            if word[-1] not in self.characters:  # never part of a piece
+                ids = [self.byte[b] for b in word.encode("utf-8")]
+            elif self.tied and (not self.tied_spaces or SPACE * 2 in word) and any(t in word for t in self.tied):  # the order of equal scores isn't a matter of neighbours
                 ids = self.merge(word)
-            elif self.characters.issuperset(word):
-                ids = self.backtrack(word)
             else:
-                start = 0
-                for i, c in enumerate(word):
-                    if c not in self.id:  # never part of a piece: its bytes stand between
-                        if start < i:
-                            ids += self.backtrack(word[start:i])
-                        ids += [self.byte[b] for b in c.encode("utf-8")]
-                        start = i + 1
-                if start < len(word):
-                    ids += self.backtrack(word[start:])
-            found = (tuple(ids), ",".join(map(str, ids)), self._joined(ids))
-            if len(self.words) > REMEMBER // 2:
-                self.words, self.older = {}, self.words
-            self.words[word] = found
+                ids = self.backtrack(word)
+            found = (tuple(ids), len(ids), ",".join(map(str, ids)), self._joined(ids))
+        if len(self.words) > REMEMBER // 2:
+            self.words, self.older = {}, self.words
+        self.words[word] = found
         return found
 
-    def _split(self, text: str) -> list[str]:
+    def _words(self, text: str) -> list[tuple[tuple[int, ...], int, str, str]]:
         if not text:
             return []
         marked = text.replace(" ", SPACE)
         if self.prefix:
             marked = SPACE + marked
-        if not self.by_word:
-            return [marked]
-        out, held = [], ""
-        for i, part in enumerate(marked.split(SPACE)):
-            if i:
-                held += SPACE
-            if part:
-                out.append(held + part)
-                held = ""
-        if held:
-            out.append(held)
-        return out
+        return [self.words.get(w) or self._word(w) for w in self.stretches.findall(marked)]
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self._split(text) for i in self._word(w)[0]]
+        return [i for w in self._words(text) for i in w[0]]
 
     def _joined(self, ids: list[int]) -> str:
+        if self.special.isdisjoint(ids):
+            return "".join(map(self.text.__getitem__, ids))
         out: list[str] = []
         held = bytearray()
         for i in [*ids, -1]:
@@ -224,8 +227,10 @@ class PieceBPE:
 
     def round_trip(self, text: str) -> tuple[int, str, str]:
         """(number of ids, the ids written out, what they decode to); words remembered are not encoded or decoded again."""
-        words = [self._word(w) for w in self._split(text)]
-        return sum(len(w[0]) for w in words), ",".join([w[1] for w in words]), self._spaced("".join([w[2] for w in words]))
+        if not (words := self._words(text)):
+            return 0, "", ""
+        _, counts, written, joined = zip(*words)
+        return sum(counts), ",".join(written), self._spaced("".join(joined))
 
 
 def _utf8(data: bytes) -> str:
