@@ -42,13 +42,31 @@ SPELLINGS = [
     ("copyright holder", "copyright owner"), ("https", "http"), ("program", "programme"), ("favor", "favour"), ("labor", "labour"),
 ]
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)(?:[^\p{L}\n][^\n]*)?$"
+# A line that is a copyright notice: the word with (c), a year, a field to fill in or a name, not a line of running text that begins with it.
+NOTICE_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:(?i:portions|parts|modifications)\s+)?(?:"
+    r"(?i:copyright)[ \t:,]*(?i:by[ \t]+)?(?:(?i:\(c\))|©|[<\[{]|(?:19|20)[0-9]{2}(?![0-9])|(?i:years?|yyyy)\b)[^\n]*"
+    r"|Copyright[ \t:]+(?:by[ \t]+|the[ \t]+|The[ \t]+)?(?!(?:Holder|Owner|Licen[sc]e|Notice|Law|Statement|Act|Interest|Right|Protection|And|Or|In)s?\b)\p{Lu}[^\n]*"
+    r"|(?i:\(c\))[ \t]*(?:(?i:copyright)\b|(?:19|20)[0-9]{2}(?![0-9]))[^\n]*"
+    r"|©[^\n]*"
+    r"|(?i:all rights reserved)[^\p{L}\p{N}\n]*"
+    r")$"
+)
+# Titles that published files open with, in canonical form.
+TITLES = [
+    "license", "licensing", "license mit", "mit", "mit license", "mit license mit", "mit x11 license", "expat license",
+    "isc", "isc license", "isc license isc", "internet systems consortium license",
+    "0bsd", "bsd zero clause license", "zero clause bsd", "zero clause bsd license", "bsd zero clause license 0bsd", "bsd 0 clause license",
+    "zlib", "zlib license", "zlib libpng license",
+    "bsd", "bsd license", "new bsd license", "modified bsd license", "simplified bsd license", "freebsd license", "revised bsd license",
+    "bsd 2 clause", "bsd 2 clause license", "2 clause bsd license", "bsd 2 clause simplified license",
+    "bsd 3 clause", "bsd 3 clause license", "3 clause bsd license", "bsd 3 clause new or revised license",
+]
 
 
-
-
-def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines, each run of characters that are no letters or digits one space, equivalent spellings alike."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+def _plain(lower: Column) -> Column:
+    """Each run of characters that are no letters or digits one space, equivalent spellings alike."""
+    out = lower
     for standard, other in SPELLINGS:
         plain = " ".join("".join(c if c.isalnum() else " " for c in other).split())
         if plain != other:  # matched before punctuation goes
@@ -60,18 +78,34 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
+def canonical(text: Column) -> Column:
+    """Lower case, without copyright lines, each run of characters that are no letters or digits one space, equivalent spellings alike."""
+    return _plain(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""))
+
+
+def whole(text: Column) -> Column:
+    """As canonical(), but of lines that begin with the word copyright only notices go, and titles before the text go too: alike however the text is wrapped."""
+    body = _plain(F.lower(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), NOTICE_LINE, "")))
+    titles = "|".join(sorted(TITLES, key=len, reverse=True))
+    return F.regexp_replace(body, rf"^(?:(?:the )?(?:{titles}) )+", "")
+
+
+def known_digests(spark: SparkSession, form=canonical) -> DataFrame:
     """(license, digest) of the known texts, a table of fixed size."""
     texts = spark.createDataFrame(list(KNOWN.items()), "license string, body string")
-    return texts.select("license", F.sha2(canonical(F.col("body")), 256).alias("digest"))
+    return texts.select("license", F.sha2(form(F.col("body")), 256).alias("digest"))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, digest and license (null: no known licence is the whole text).
 
-    A null or empty text has the digest of the empty string and no licence. Repeated rows
-    each get a row. Only doc_id and the text are read.
+    The digest is that of canonical(). A text whose whole() is a known licence's has that licence too: canonical()
+    loses licence wording in lines that begin with the word copyright, and keeps titles. A null or empty text has the
+    digest of the empty string and no licence. Repeated rows each get a row. Only doc_id and the text are read.
     """
-    body = canonical(F.coalesce(F.col(text), F.lit("")))
-    digests = docs.select("doc_id", F.sha2(body, 256).alias("digest"))
-    return digests.join(F.broadcast(known_digests(docs.sparkSession)), "digest", "left").select("doc_id", "digest", "license")
+    body = F.coalesce(F.col(text), F.lit(""))
+    digests = docs.select("doc_id", F.sha2(canonical(body), 256).alias("digest"), F.sha2(whole(body), 256).alias("whole"))
+    known = known_digests(docs.sparkSession)
+    by_whole = known_digests(docs.sparkSession, whole).select(F.col("license").alias("whole_license"), F.col("digest").alias("whole"))
+    found = digests.join(F.broadcast(known), "digest", "left").join(F.broadcast(by_whole), "whole", "left")
+    return found.select("doc_id", "digest", F.coalesce("license", "whole_license").alias("license"))
