@@ -6,9 +6,13 @@ spellings), hashed, and joined to the digests of known licence texts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscape.llm.license_digests import DIGESTS
+
 # Short licences and notices as published, by SPDX name.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -35,6 +39,12 @@ Unless required by applicable law or agreed to in writing, software distributed
     "MIT-statement": "Released under the MIT License.",
     "Apache-2.0-statement": "Licensed under the Apache License, Version 2.0.",
 }
+_CLAUSE_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+# Short licences that only whole() is matched with; longer ones are in DIGESTS.
+SHORT = {
+    "BSD-3-Clause": KNOWN["BSD-2-Clause"].replace("\nTHIS SOFTWARE", f"\n{_CLAUSE_3}\nTHIS SOFTWARE"),
+    "MIT-0": KNOWN["MIT"].replace(", subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "."),
+}
 # Equivalent spellings, brought to the first form.
 SPELLINGS = [
     ("license", "licence"), ("licensed", "licenced"), ("sublicense", "sublicence"), ("organization", "organisation"),
@@ -62,6 +72,8 @@ TITLES = [
     "bsd 2 clause", "bsd 2 clause license", "2 clause bsd license", "bsd 2 clause simplified license",
     "bsd 3 clause", "bsd 3 clause license", "3 clause bsd license", "bsd 3 clause new or revised license",
 ]
+# The name in the third clause of BSD-3-Clause differs from file to file.
+NAMED = r"\bneither the names? of (?:[^ ]+ ){1,20}?nor the names of"
 
 
 def _plain(lower: Column) -> Column:
@@ -87,13 +99,23 @@ def whole(text: Column) -> Column:
     """As canonical(), but of lines that begin with the word copyright only notices go, and titles before the text go too: alike however the text is wrapped."""
     body = _plain(F.lower(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), NOTICE_LINE, "")))
     titles = "|".join(sorted(TITLES, key=len, reverse=True))
-    return F.regexp_replace(body, rf"^(?:(?:the )?(?:{titles}) )+", "")
+    body = F.regexp_replace(body, rf"^(?:(?:the )?(?:{titles}) )+", "")
+    return F.regexp_replace(body, NAMED, "neither the name of the copyright holder nor the names of")
 
 
-def known_digests(spark: SparkSession, form=canonical) -> DataFrame:
+def known_digests(spark: SparkSession) -> DataFrame:
     """(license, digest) of the known texts, a table of fixed size."""
     texts = spark.createDataFrame(list(KNOWN.items()), "license string, body string")
-    return texts.select("license", F.sha2(form(F.col("body")), 256).alias("digest"))
+    return texts.select("license", F.sha2(canonical(F.col("body")), 256).alias("digest"))
+
+
+def whole_digests(spark: SparkSession) -> DataFrame:
+    """(whole_license, whole): digests of whole() of the known texts, of short ones with and without numbers before their paragraphs; a table of fixed size."""
+    texts = [(name, body) for name, body in (KNOWN | SHORT).items()]
+    texts += [(name, re.sub(r"(?m)^[0-9]\. ", "", body)) for name, body in texts]
+    short = spark.createDataFrame(texts, "whole_license string, body string").select("whole_license", F.sha2(whole(F.col("body")), 256).alias("whole"))
+    full = spark.createDataFrame([(name, digest) for name, digests in DIGESTS.items() for digest in digests], "whole_license string, whole string")
+    return short.unionByName(full).groupBy("whole").agg(F.min("whole_license").alias("whole_license"))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -106,6 +128,5 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     digests = docs.select("doc_id", F.sha2(canonical(body), 256).alias("digest"), F.sha2(whole(body), 256).alias("whole"))
     known = known_digests(docs.sparkSession)
-    by_whole = known_digests(docs.sparkSession, whole).select(F.col("license").alias("whole_license"), F.col("digest").alias("whole"))
-    found = digests.join(F.broadcast(known), "digest", "left").join(F.broadcast(by_whole), "whole", "left")
+    found = digests.join(F.broadcast(known), "digest", "left").join(F.broadcast(whole_digests(docs.sparkSession)), "whole", "left")
     return found.select("doc_id", "digest", F.coalesce("license", "whole_license").alias("license"))

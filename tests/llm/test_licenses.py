@@ -1,5 +1,7 @@
 """Known licences as published: wrapped, under a title and a copyright line."""
 
+import pathlib
+import re
 import textwrap
 
 from callscape.llm import licenses
@@ -29,3 +31,13 @@ def test_other_texts_are_not_licences(spark):
     mit = licenses.KNOWN["MIT"]
     texts = [None, "", "MIT License", mit + "\nExcept on Sundays.", mit.replace("without restriction", "with restrictions"), "ISC License\n" + mit[:200]]
     assert set(found(spark, texts).values()) == {None}
+
+
+def test_longer_licences(spark):
+    named = licenses.KNOWN["BSD-2-Clause"].replace("\nTHIS SOFTWARE", "\n3. Neither the name of Example Org. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
+    texts = {"BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) 2020, Example Org.\nAll rights reserved.\n\n" + textwrap.fill(re.sub(r"\n[0-9]\. ", "\n* ", named), 72)}
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")):
+        path = pathlib.Path("/usr/share/common-licenses") / file  # of Debian's base-files
+        if path.exists():
+            texts[name] = path.read_text()
+    assert found(spark, list(texts.values())) == dict(enumerate(texts))
