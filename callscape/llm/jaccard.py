@@ -146,21 +146,27 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
 REMEMBER = 200_000
 
 
+def _digests(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each set."""
+    a = np.concatenate([[U(0)], np.cumsum(mix(h))])
+    b = np.concatenate([[U(0)], np.cumsum(mix(h + U(0x8EBC6AF09C88C6E3)))])
+    return (a[begin[1:]] - a[begin[:-1]]).view(np.int64), (b[begin[1:]] - b[begin[:-1]]).view(np.int64)
+
+
 def _index(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            ids = batch.column(0)
+            ids, keys = batch.column(0), batch.column(2)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
             for first, last, data, offsets in slices(batch.column(1)):
                 h, begin = shingles(data, offsets, k)
                 n = np.diff(begin)
-                a = np.concatenate([[U(0)], np.cumsum(mix(h))])
-                b = np.concatenate([[U(0)], np.cumsum(mix(h + U(0x8EBC6AF09C88C6E3)))])
-                d1, d2 = (a[begin[1:]] - a[begin[:-1]]).view(np.int64), (b[begin[1:]] - b[begin[:-1]]).view(np.int64)
+                d1, d2 = _digests(h, begin)
                 text, entry, owner, spare = index_entries(h, begin, num, den)
                 fresh = np.zeros(last - first, bool)
                 for i, digest in enumerate(zip(d1.tolist(), d2.tolist())):
-                    if digest not in seen:
+                    if known[first + i] and digest not in seen:
                         fresh[i] = True
                         seen.add(digest)
                 if len(seen) > REMEMBER:
@@ -171,31 +177,37 @@ def _index(k: int, num: int, den: int):
                 owner, spare = owner[keep], spare[keep]
                 every = np.arange(last - first + 1)
                 lists = _lists(entry, np.searchsorted(text, every)), _lists(spare, np.searchsorted(owner, every))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n), pa.array(d1), pa.array(d2), *lists], names=["id", "n_shingles", "d1", "d2", "entries", "spare"])
+                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), ids.slice(first, last - first), pa.array(n), pa.array(d1), pa.array(d2), *lists], names=["key", "id", "n_shingles", "d1", "d2", "entries", "spare"])
 
     return run
 
 
 def _meets(indexed: DataFrame, store: Store) -> DataFrame:
-    """(u, v): ids with the least id that keeps one of the same entries. A hot entry is a skewed join key only, its counts are aggregated beforehand."""
-    entries = indexed.select(F.explode("entries").alias("entry"), "id")
+    """(u, v): keys with the least key that keeps one of the same entries. A hot entry is a skewed join key only, its counts are aggregated beforehand."""
+    entries = indexed.select(F.explode("entries").alias("entry"), "key")
     held = entries.groupBy("entry").agg(F.count("*").alias("held")).where("held > 1")
     shared = store.save(entries.join(held, "entry").withColumn("scheme", F.pmod("entry", F.lit(SCHEMES))), "shared")
-    spare = indexed.select("id", F.explode("spare").alias("s")).groupBy("id", F.pmod("s", F.lit(SCHEMES)).alias("scheme")).agg(F.min(F.floor(F.col("s") / SCHEMES)).alias("spare"))
-    commonest = W.partitionBy("id", "scheme").orderBy(F.desc("held"), "entry")
-    kept = shared.join(spare, ["id", "scheme"]).withColumn("nth", F.row_number().over(commonest)).where("nth > spare").select("entry", "id")
+    spare = indexed.select("key", F.explode("spare").alias("s")).groupBy("key", F.pmod("s", F.lit(SCHEMES)).alias("scheme")).agg(F.min(F.floor(F.col("s") / SCHEMES)).alias("spare"))
+    commonest = W.partitionBy("key", "scheme").orderBy(F.desc("held"), "entry")
+    kept = shared.join(spare, ["key", "scheme"]).withColumn("nth", F.row_number().over(commonest)).where("nth > spare").select("entry", "key")
     kept = store.save(kept, "kept")
-    hub = kept.groupBy("entry").agg(F.min("id").alias("v"), F.max("id").alias("top")).where("v < top").drop("top")
-    return store.save(kept.join(hub, "entry").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "meets")
+    hub = kept.groupBy("entry").agg(F.min("key").alias("v"), F.max("key").alias("top")).where("v < top").drop("top")
+    return store.save(kept.join(hub, "entry").where("key <> v").select(F.col("key").alias("u"), "v").distinct(), "meets")
 
 
 def _sets(k: int):
+    """The texts whose set has the digests given; other texts of the same id go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(2)):
                 h, begin = shingles(data, offsets, k)
                 kept = (batch.column(i).slice(first, last - first) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([*kept, _lists(h, begin)], names=["id", "component", "elements"])
+                same = np.ones(last - first, bool)
+                for i, found in enumerate((np.diff(begin), *_digests(h, begin))):
+                    same &= batch.column(3 + i).slice(first, last - first).to_numpy() == found
+                sets = pa.RecordBatch.from_arrays([*kept, _lists(h, begin)], names=["key", "component", "elements"])
+                yield sets if same.all() else sets.filter(pa.array(same))
 
     return run
 
@@ -234,7 +246,7 @@ def links(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int) -> np.nd
 
 def _compare(num: int, den: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
+        ids = table.column("key").to_numpy()
         block = table.column("block").to_numpy()
         lists = table.column("elements").combine_chunks()
         flat, where = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -277,30 +289,40 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
     source = docs.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    indexed = store.save(source.mapInArrow(_index(k, num, den), "id long, n_shingles long, d1 long, d2 long, entries array<long>, spare array<long>"), "indexed")
-    # Equal sets are one set, of the smallest id.
-    sets = indexed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"))
+    # Rows have keys, as one id may have several texts; the keys hold in the written table only.
+    keyed = source.select("id", "text", F.monotonically_increasing_id().alias("key"))
+    indexed = store.save(keyed.mapInArrow(_index(k, num, den), "key long, id long, n_shingles long, d1 long, d2 long, entries array<long>, spare array<long>"), "indexed")
+    # Equal sets are one set, of the smallest key.
+    sets = indexed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("key").alias("rep"), F.min("id").alias("low"))
     sets = store.save(sets, "sets")
-    reps = indexed.select("id", "n_shingles", "d1", "d2").join(sets, ["n_shingles", "d1", "d2"], "left").select("id", "n_shingles", "rep")
-    reps = store.save(reps.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))), "reps")
+    reps = indexed.select("key", "id", "n_shingles", "d1", "d2").join(sets, ["n_shingles", "d1", "d2"], "left").select("key", "id", "n_shingles", "rep", "low")
+    known = F.col("id").isNotNull()
+    reps = store.save(reps.withColumn("rep", F.when(known, F.coalesce("rep", "key"))).withColumn("low", F.when(known, F.coalesce("low", "id"))), "reps")
     meets = _meets(indexed.where("id IS NOT NULL"), store)
     store.drop("indexed", "shared", "kept")
-    to = store.save(reps.where("id <> rep").select("id", "rep").distinct(), "equal")
+    to = store.save(reps.where("key <> rep").select("key", "rep"), "equal")
     for side in ("u", "v"):
-        meets = meets.join(to.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
+        meets = meets.join(to.withColumnRenamed("key", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
     clusters = components(meets.where("u <> v"), store, "clusters")
     # The sets of clusters' members, from their texts.
-    members = source.join(clusters, F.col("id") == F.col("node")).select("id", "component", "text")
-    members = store.save(members.mapInArrow(_sets(k), "id long, component long, elements array<long>"), "members")
+    wanted = clusters.join(sets, F.col("node") == F.col("rep")).select("node", "component", F.col("low").alias("id"), "n_shingles", "d1", "d2")
+    members = source.join(wanted, "id").select(F.col("node").alias("key"), "component", "text", "n_shingles", "d1", "d2")
+    members = store.save(members.mapInArrow(_sets(k), "key long, component long, elements array<long>"), "members")
     totals = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum(F.size("elements")) / F.lit(BLOCK_ELEMENTS))).alias("n"))
     totals = store.save(totals, "totals")
-    blocked = members.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
+    blocked = members.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    dealt = blocked.withColumn("with", other).select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "block", "elements")
+    dealt = blocked.withColumn("with", other).select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "block", "elements")
     linked = dealt.groupBy("component", "i", "j").applyInArrow(_compare(num, den), "u long, v long")
-    found = components(linked, store, "links")
+    # Sets of one id are one node.
+    nodes = reps.where(known).groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v < top").select("id", "v")
+    of_id = reps.join(nodes, "id").where("rep <> v").select(F.col("rep").alias("u"), "v")
+    found = components(linked.unionByName(of_id), store, "links")
     store.drop("members")
-    return reps.join(found, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    lows = found.join(reps.select(F.col("rep").alias("node"), "low").distinct(), "node")
+    least = lows.groupBy("component").agg(F.min("low").alias("least"))
+    least = store.save(found.join(least, "component").select("node", "least"), "least")
+    return reps.join(least, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("least", "low").alias("component"))
 
 
 def join(docs: DataFrame, k: int = 4, num: int = 17, den: int = 20) -> DataFrame:

@@ -46,3 +46,13 @@ def test_near_copies_and_shared_passages(spark):
 
 def test_empty_table(spark):
     assert jaccard.groups(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(4))
+    # Null ids before their equal; id 7 has a text of id 1's and another one, near id 9's; id 12 an empty text and one near id 3's.
+    rows = [(None, a), (5, a), (6, a + " x"), (1, b), (7, b), (7, c), (9, c + " y"), (None, d), (3, d), (12, ""), (12, d + " z"), (4, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    found = {(r.id, r.n_shingles, r.component) for r in jaccard.groups(docs, 4, 17, 20).collect()}
+    assert found == {(None, 57, None), (5, 57, 5), (6, 58, 5), (1, 57, 1), (7, 57, 1), (9, 58, 1), (3, 57, 3), (12, 0, 3), (12, 58, 3), (4, 0, 4)}
