@@ -122,8 +122,8 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     A line's key is the line without white space at its ends, A-Z in lower case. A key of at
     least min_chars code points that at least min_docs documents hold loses all its lines but those in the
     document of the largest doc_id among them. Null and empty texts are one empty line and
-    stay as they are. Each row counts as one document, repeated ones too; rows that share a doc_id
-    fare alike. A null doc_id is the smallest. Clashing names of other columns do no harm.
+    stay as they are. Rows that share a doc_id count as one document and fare alike; those without
+    a doc_id don't count. A null doc_id is the smallest. Clashing names of other columns do no harm.
     """
     spark = docs.sparkSession
     store = Store(spark, "linededup")
@@ -136,9 +136,10 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     ident = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     placed = docs.select(*ident, keys.alias("keys")).where(F.size("keys") > 0)
     placed = store.save(placed, "keys")
+    # Rows of one doc_id are in one batch, so that the batches' distinct counts add up.
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
     held = placed.select("doc_id", batch, F.explode(F.array_distinct(F.transform("keys", lambda s: s["k"]))).alias("k"))
-    held = held.groupBy("batch", F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+    held = held.groupBy("batch", F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
     runs = Runs(spark, max(8, placed.count() // BUCKET_DOCS))
     staged = runs.write(held.select("h", "g", "n_docs", "max_doc", "batch"), "batch", deal=True)
     for b in range(batches):
