@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram jaccard join", jaccard_join), ("secret scans", secret_scan), ("packing", pack)]
-#: Learned scores, shingle links and token ids are beyond SQL; tests hold the stages against brute force.
+#: Learned scores, shingle links and token ids are beyond SQL. Which stages have tests, and which not, is in the README.
 ORACLE_SQL = None
 
 

@@ -56,3 +56,11 @@ def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
     found = {(r.id, r.n_shingles, r.component) for r in jaccard.groups(docs, 4, 17, 20).collect()}
     assert found == {(None, 57, None), (5, 57, 5), (6, 58, 5), (1, 57, 1), (7, 57, 1), (9, 58, 1), (3, 57, 3), (12, 0, 3), (12, 58, 3), (4, 0, 4)}
+
+
+def test_keep_one_keeps_the_smallest_of_each_group(spark):
+    rng = random.Random(13)
+    a, b = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(2))
+    rows = [(3, a), (2, a + " x"), (9, a), (4, b), (4, b), (5, ""), (6, None), (None, a)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(2, a + " x"), (4, b), (5, ""), (6, None), (None, a)], key=repr)
