@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from callscape.llm.components import components
 from callscape.llm.shingles import U, mix, shingles, slices
-from callscape.llm.store import Store
+from callscape.llm.store import Store, scratch
 
 #: Ratio of the sizes at a band's ends.
 BAND = 1.3
@@ -41,6 +41,8 @@ BAND = 1.3
 SPARE = 0.5
 #: Low bits of an entry that name its band's scheme.
 SCHEMES = 64
+#: The entries are counted and joined in so many rounds, by the bits above those, so that only a round's share of them is ever shuffled at once.
+ROUNDS = 8
 #: Sets and elements that a comparison block holds at most (a single set may be larger).
 BLOCK_SETS, BLOCK_ELEMENTS = 128, 1_000_000
 
@@ -142,6 +144,7 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+ENTRIES = [f"entries{r}" for r in range(ROUNDS)]
 #: Set digests that a task remembers, to index each of many equal sets once.
 REMEMBER = 200_000
 
@@ -176,21 +179,30 @@ def _index(k: int, num: int, den: int):
                 keep = fresh[owner]
                 owner, spare = owner[keep], spare[keep]
                 every = np.arange(last - first + 1)
-                lists = _lists(entry, np.searchsorted(text, every)), _lists(spare, np.searchsorted(owner, every))
-                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), ids.slice(first, last - first), pa.array(n), pa.array(d1), pa.array(d2), *lists], names=["key", "id", "n_shingles", "d1", "d2", "entries", "spare"])
+                turn = entry // U(SCHEMES) % U(ROUNDS)
+                lists = [_lists(spare, np.searchsorted(owner, every))]
+                for r in range(ROUNDS):
+                    own = turn == r
+                    lists.append(_lists(entry[own], np.searchsorted(text[own], every)))
+                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), ids.slice(first, last - first), pa.array(n), pa.array(d1), pa.array(d2), *lists], names=["key", "id", "n_shingles", "d1", "d2", "spare", *ENTRIES])
 
     return run
 
 
 def _meets(indexed: DataFrame, store: Store) -> DataFrame:
     """(u, v): keys with the least key that keeps one of the same entries. A hot entry is a skewed join key only, its counts are aggregated beforehand."""
-    entries = indexed.select(F.explode("entries").alias("entry"), "key")
-    held = entries.groupBy("entry").agg(F.count("*").alias("held")).where("held > 1")
-    shared = store.save(entries.join(held, "entry").withColumn("scheme", F.pmod("entry", F.lit(SCHEMES))), "shared")
+    shared = None
+    for name in ENTRIES:  # a column is read for its round only
+        entries = indexed.select(F.explode(name).alias("entry"), "key")
+        held = entries.groupBy("entry").agg(F.count("*").alias("held")).where("held > 1")
+        part = store.save(entries.join(held, "entry"), f"shared-{name}")
+        shared = part if shared is None else shared.unionByName(part)
+    shared = shared.withColumn("scheme", F.pmod("entry", F.lit(SCHEMES)))
     spare = indexed.select("key", F.explode("spare").alias("s")).groupBy("key", F.pmod("s", F.lit(SCHEMES)).alias("scheme")).agg(F.min(F.floor(F.col("s") / SCHEMES)).alias("spare"))
     commonest = W.partitionBy("key", "scheme").orderBy(F.desc("held"), "entry")
     kept = shared.join(spare, ["key", "scheme"]).withColumn("nth", F.row_number().over(commonest)).where("nth > spare").select("entry", "key")
     kept = store.save(kept, "kept")
+    store.drop(*(f"shared-{name}" for name in ENTRIES))
     hub = kept.groupBy("entry").agg(F.min("key").alias("v"), F.max("key").alias("top")).where("v < top").drop("top")
     return store.save(kept.join(hub, "entry").where("key <> v").select(F.col("key").alias("u"), "v").distinct(), "meets")
 
@@ -291,7 +303,7 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame
     source = docs.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     # Rows have keys, as one id may have several texts; the keys hold in the written table only.
     keyed = source.select("id", "text", F.monotonically_increasing_id().alias("key"))
-    indexed = store.save(keyed.mapInArrow(_index(k, num, den), "key long, id long, n_shingles long, d1 long, d2 long, entries array<long>, spare array<long>"), "indexed")
+    indexed = store.save(keyed.mapInArrow(_index(k, num, den), "key long, id long, n_shingles long, d1 long, d2 long, spare array<long>, " + ", ".join(f"{e} array<long>" for e in ENTRIES)), "indexed")
     # Equal sets are one set, of the smallest key.
     sets = indexed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("key").alias("rep"), F.min("id").alias("low"))
     sets = store.save(sets, "sets")
@@ -299,7 +311,7 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame
     known = F.col("id").isNotNull()
     reps = store.save(reps.withColumn("rep", F.when(known, F.coalesce("rep", "key"))).withColumn("low", F.when(known, F.coalesce("low", "id"))), "reps")
     meets = _meets(indexed.where("id IS NOT NULL"), store)
-    store.drop("indexed", "shared", "kept")
+    store.drop("indexed", "kept")
     to = store.save(reps.where("key <> rep").select("key", "rep"), "equal")
     for side in ("u", "v"):
         meets = meets.join(to.withColumnRenamed("key", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
@@ -322,6 +334,7 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame
     lows = found.join(reps.select(F.col("rep").alias("node"), "low").distinct(), "node")
     least = lows.groupBy("component").agg(F.min("low").alias("least"))
     least = store.save(found.join(least, "component").select("node", "least"), "least")
+    store.only("reps", "least")
     return reps.join(least, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("least", "low").alias("component"))
 
 
@@ -338,9 +351,10 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     is null, stay. Columns may have any names.
     """
     store = Store(docs.sparkSession, "keep-one")
-    found = groups(docs.select(F.col("doc_id").alias("id"), "text"), k, num, den)
-    marks = found.where("id IS NOT NULL AND n_shingles > 0").groupBy("id").agg(F.bool_or(F.col("component") < F.col("id")).alias("drop"), (F.count("*") > 1).alias("repeated"))
-    marks = store.save(marks.where("drop OR repeated"), "marks")
+    with scratch():
+        found = groups(docs.select(F.col("doc_id").alias("id"), "text"), k, num, den)
+        marks = found.where("id IS NOT NULL AND n_shingles > 0").groupBy("id").agg(F.bool_or(F.col("component") < F.col("id")).alias("drop"), (F.count("*") > 1).alias("repeated"))
+        marks = store.save(marks.where("drop OR repeated"), "marks")
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     nth = F.row_number().over(W.partitionBy("key").orderBy("id"))
     kept = rows.join(marks, F.col("key") == F.col("id"), "left").withColumn("nth", nth)

@@ -31,36 +31,67 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> np.ndarray:
-    global POWERS
-    while len(POWERS) < n:
-        POWERS = np.concatenate([POWERS, POWERS * POWERS[-1] * FACTOR])
-    return POWERS
+    """FACTOR^0 .. FACTOR^(n - 1)."""
+    if n <= len(POWERS):
+        return POWERS[:n]
+    return np.concatenate([[U(1)], np.cumprod(np.full(n - 1, FACTOR, np.uint64))])
+
+
+#: Bytes whose words are found at once: what lies around them is some 40 bytes a byte, for a piece only.
+PIECE = 1 << 21
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of each word, for texts that lie between offsets in data."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    edge = offsets[(offsets > 0) & (offsets < len(data))]
-    starts[edge] = inside[edge]  # a text begins a word
-    at = np.flatnonzero(starts)
-    if not len(at):
+    """(hash, text) of each word, for texts that lie between offsets in data.
+
+    Works in pieces of PIECE bytes. A word's hash is that of a sum over its bytes, so a word that goes on in the next
+    piece carries its sum and length.
+    """
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # a text begins a word
+    sums, places = [], []
+    done, so_far = 0, U(0)  # of the word that reaches the piece's beginning: its bytes and its sum
+    for begin in range(0, len(data), PIECE):
+        piece = data[begin : begin + PIECE]
+        inside = ~SPACE[piece]
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1] | edge[begin + 1 : begin + len(piece)]
+        goes_on = done > 0 and bool(inside[0]) and not edge[begin]
+        if done and not goes_on:
+            sums.append(np.array([so_far]))
+        if inside[0]:
+            starts[0] = True
+        at = np.flatnonzero(starts)
+        if not len(at):
+            done, so_far = 0, U(0)
+            continue
+        where = np.flatnonzero(inside)
+        within = where - at[np.cumsum(starts)[where] - 1]
+        value = BYTE[piece[where]] * powers(int(within.max()) + 1)[within]
+        total = np.add.reduceat(value, np.searchsorted(where, at))
+        if goes_on:
+            total[0] = (int(so_far) + int(total[0]) * pow(int(FACTOR), done, 1 << 64)) % (1 << 64)
+        fresh = at[1:] if goes_on else at
+        places.append(fresh + begin)
+        if inside[-1]:  # the last word may go on
+            length = len(piece) - int(at[-1])
+            done = length + (done if goes_on and len(at) == 1 else 0)
+            so_far = total[-1]
+            total = total[:-1]
+        else:
+            done, so_far = 0, U(0)
+        sums.append(total)
+    if done:
+        sums.append(np.array([so_far]))
+    if not places:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    where = np.flatnonzero(inside)
-    nth = np.cumsum(starts)[where] - 1
-    within = where - at[nth]
-    values = BYTE[data[where]] * powers(int(within.max()) + 1)[within]
-    first = np.searchsorted(where, at)
-    return mix(np.add.reduceat(values, first)), np.searchsorted(offsets, at, side="right") - 1
+    return mix(np.concatenate(sums).astype(np.uint64)), np.searchsorted(offsets, np.concatenate(places), side="right") - 1
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 56-bit shingle hashes sorted by (text, hash), and where each text's begin (n + 1 offsets).
 
-    Takes SLICE_TEXTS texts at most. A text of fewer than k words has its whole sequence as one; one without words has none.
+    Takes SLICE_TEXTS texts at most. What is held is about ten times the longest text, at six bytes a word. A text of fewer than k words has its whole sequence as one; one without words has none.
     """
     n = len(offsets) - 1
     word, text = words(data, offsets)
@@ -71,14 +102,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     owner = np.repeat(np.arange(n), per_text)
     at = np.arange(out[-1]) - out[owner] + begin[owner]
     length = np.minimum(count[owner], k)
-    h = length.astype(np.uint64) * U(0xD6E8FEB86659FD93)
     padded = np.concatenate([word, np.zeros(k, np.uint64)])
-    for i in range(k):
-        part = padded[at + i]
-        part[i >= length] = 0
-        h = mix(h + part)
-    # One sort by (text, hash): the text in the high 8 bits, so 56 bits of hash are kept.
-    key = np.sort((owner.astype(np.uint64) << U(56)) | (h >> U(8)))
+    key = np.empty(len(at), np.uint64)
+    for a in range(0, len(at), PIECE):
+        b = min(len(at), a + PIECE)
+        h = length[a:b].astype(np.uint64) * U(0xD6E8FEB86659FD93)
+        for i in range(k):
+            part = padded[at[a:b] + i]
+            part[i >= length[a:b]] = 0
+            h = mix(h + part)
+        # The text in the high 8 bits, for one sort by (text, hash), so 56 bits of hash are kept.
+        key[a:b] = (owner[a:b].astype(np.uint64) << U(56)) | (h >> U(8))
+    key.sort()
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     key = key[new]
