@@ -1,6 +1,6 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (hash, n_docs, max_doc), one row per line hash, bucketed and sorted by
+A run is a table of (hash, n_docs, max_doc), one row per line hash, sorted by
 the hash. Each batch of documents is merge-anti-joined with the runs: keys not met before form a
 new run at level 0; keys met before add their counts to increments. When a level holds FANOUT
 runs they are compacted into one run of the next level. In the end the runs say which keys
@@ -9,18 +9,15 @@ enough documents hold, and which document keeps each.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscape.llm.store import Store
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
-#: Runs have a bucket for so many documents.
-BUCKET_DOCS = 50_000
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,66 +40,52 @@ class Runs:
     """Levelled sorted runs of keys, and increments of keys already in them.
 
     Runs hold disjoint keys: a batch is merge-anti-joined with them and only its new keys (met = 0) become
-    a run; what it adds to known keys (met = 1) lies beside it. Tables lie in the warehouse, which
-    executors share, bucketed and sorted by hash, so that these joins shuffle nothing.
+    a run; what it adds to known keys (met = 1) lies beside it. Runs are tables in the shared folder, dealt by hash and
+    sorted within each file. A merge join moves only the hashes of the runs, 16 bytes a key.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets = spark, buckets
-        self.prefix = f"line_runs_{uuid.uuid4().hex}"
+    def __init__(self, store: Store):
+        self.store = store
         self.levels: list[list[str]] = [[]]
+        self.tables: dict[str, DataFrame] = {}
         self.batches: list[str] = []
-        self.made = 0
 
-    def write(self, df: DataFrame, part: str, deal: bool) -> str:
-        self.made += 1
-        table = f"{self.prefix}_{self.made}"
-        if deal:
-            df = df.repartition(self.buckets, "h").coalesce(self.buckets)
-        df.write.format("parquet").partitionBy(part).bucketBy(self.buckets, "h").sortBy("h", "g").saveAsTable(table)
-        return table
+    def _save(self, df: DataFrame) -> str:
+        name = f"run-{len(self.tables)}"
+        self.tables[name] = self.store.save(df, name)
+        return name
 
-    def _scan(self, tables: list[str]) -> DataFrame:
-        # Plain scans of the files: Spark 4.1 takes a union of bucketed scans for partitioned by their key, which it isn't.
-        home = self.spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        plain = self.spark.read.schema("h long, g long, n_docs long, max_doc long, met int")
-        return reduce(DataFrame.unionByName, (plain.parquet(f"{home}/{t}") for t in tables))
-
-    def _runs(self) -> list[str]:
-        return [t for level in self.levels for t in level]
+    def _keys(self) -> DataFrame | None:
+        """The rows of all runs."""
+        runs = [t for level in self.levels for t in level]
+        return reduce(DataFrame.unionByName, (self.tables[t].where("met = 0") for t in runs)) if runs else None
 
     def add(self, batch: DataFrame) -> None:
-        """batch: one row (h, g, n_docs, max_doc) per key, bucketed by h."""
-        met = F.lit(False)
-        for i, run in enumerate(self._runs()):
-            keys = self.spark.table(run).where("met = 0").select("h", "g", F.lit(1).alias(f"hit{i}"))
-            batch = batch.join(keys, ["h", "g"], "left")
-            met = met | F.col(f"hit{i}").isNotNull()
-        table = self.write(batch.select("h", "g", "n_docs", "max_doc", met.cast("int").alias("met")), "met", deal=False)
-        self.batches.append(table)
-        self.levels[0].append(table)
+        """batch: one row (h, g, n_docs, max_doc) per key."""
+        keys = self._keys()
+        if keys is None:
+            batch = batch.withColumn("met", F.lit(0)).repartition("h", "g").sortWithinPartitions("h", "g")
+        else:
+            hit = keys.select("h", "g", F.lit(1).alias("hit")).hint("merge")
+            batch = batch.join(hit, ["h", "g"], "left").withColumn("met", F.coalesce("hit", F.lit(0))).drop("hit")
+        name = self._save(batch)
+        self.batches.append(name)
+        self.levels[0].append(name)
         level = 0
         while len(self.levels[level]) >= FANOUT:
             if level + 1 == len(self.levels):
                 self.levels.append([])
             old, self.levels[level] = self.levels[level], []
-            self.levels[level + 1].append(self.write(self._scan(old).where("met = 0"), "met", deal=True))
-            self._drop([t for t in old if t not in self.batches])
+            rows = reduce(DataFrame.unionByName, (self.tables[t].where("met = 0") for t in old))
+            self.levels[level + 1].append(self._save(rows.repartition("h", "g").sortWithinPartitions("h", "g")))
+            self.store.drop(*(t for t in old if t not in self.batches))
             level += 1
 
     def totals(self, min_docs: int) -> DataFrame:
         """(h, g, n_docs, max_doc) of the keys held by at least min_docs documents: runs, and all increments."""
-        parts = self._scan(self._runs()).where("met = 0").unionByName(self._scan(self.batches).where("met = 1"))
+        parts = reduce(DataFrame.unionByName, (self.tables[t].where("met = 1") for t in self.batches), self._keys())
         return parts.groupBy("h", "g").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")).where(F.col("n_docs") >= min_docs)
 
-    def _drop(self, tables: list[str]) -> None:
-        for t in tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-
-    def close(self) -> None:
-        self._drop([*self._runs(), *self.batches])
-        self.levels, self.batches = [[]], []
-
 
 def _without(lines: pd.Series, drops: pd.Series) -> pd.Series:
     """Texts without the lines at the places given; linear in the text."""
@@ -140,13 +123,12 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
     held = placed.select("doc_id", batch, F.explode(F.array_distinct(F.transform("keys", lambda s: s["k"]))).alias("k"))
     held = held.groupBy("batch", F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-    runs = Runs(spark, max(8, placed.count() // BUCKET_DOCS))
-    staged = runs.write(held.select("h", "g", "n_docs", "max_doc", "batch"), "batch", deal=True)
+    staged = store.save(held, "staged")
+    runs = Runs(store)
     for b in range(batches):
-        runs.add(spark.table(staged).where(F.col("batch") == b))
+        runs.add(staged.where(F.col("batch") == b).drop("batch"))
     hot = store.save(runs.totals(min_docs), "hot")
-    runs.close()
-    spark.sql(f"DROP TABLE {staged}")
+    store.only("keys", "hot")
     found = placed.select("doc_id", "text_hash", F.explode("keys").alias("s")).select("doc_id", "text_hash", F.col("s.pos").alias("pos"), F.col("s.k.h").alias("h"), F.col("s.k.g").alias("g"))
     drops = (
         found.join(hot.select("h", "g", "max_doc"), ["h", "g"])
@@ -155,6 +137,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
         .select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"), "drops")
     )
     drops = store.save(drops, "drops")
+    store.only("drops")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *ident)
     both = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("text_hash") == F.col("drop_hash")), "left")
     text = F.col("row.text")
