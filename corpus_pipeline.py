@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callscape.llm import jaccard, linededup, packing, secrets
 from callscape.llm import toxicity as toxic
-from callscape.llm.store import Store
+from callscape.llm.store import Store, scratch
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +41,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents through all stages. What a stage leaves in the shared folder goes when the next one has read it; a stage's
+    own tables go when its result is written. Only what the last stage's rows are read from stays."""
     store = Store(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = store.save(docs, str(i))
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch():
+            docs = store.save(stage(spark, docs, sf_dir), str(i))
+        store.only(str(i))
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    store.clear()  # the last stage has read its documents
+    return packed
