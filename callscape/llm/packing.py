@@ -6,6 +6,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -51,21 +52,26 @@ class ByteBPE:
             and not model.get("ignore_merges") and merged == sorted(merged) and len(merged) + 256 == len(vocabulary)
             and all(not (x.get("lstrip") or x.get("rstrip") or x.get("single_word")) for x in spec.get("added_tokens", []))
         )
-        self.fast = self.library = None
+        self.path, self.fast = path, None
         if plain:
             import tiktoken
 
             of = _bytes_of()
             ranks = {bytes(of[c] for c in k): v for k, v in vocabulary.items()}
             self.fast = tiktoken.Encoding("callscape", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        else:
-            from tokenizers import Tokenizer
 
-            self.library = Tokenizer.from_file(path)
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None:
-            return self.fast.encode_to_numpy(text, allowed_special="all")
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # its pattern's stack ends at about half a million spaces in a row
+                pass
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -130,7 +136,8 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     A document is its ids and END; it is cut into pieces of LENGTH and a rest. Each group packs its pieces
     by first-fit decreasing. Null and empty texts are END alone. Rows are documents of their
-    own, repeated ones too; a null doc_id stays null. An empty table gives no rows.
+    own, repeated ones too; a null doc_id stays null. An empty table gives no rows. Only doc_id and the text
+    are read, so other columns may have any names. A long text is encoded whole: its ids take four bytes each.
     tokenizer: the place of a tokenizers JSON file, the same on all machines.
     """
     store = Store(docs.sparkSession, "packing")
