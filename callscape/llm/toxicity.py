@@ -2,6 +2,7 @@
 
 Terms are words (A-Z and Latin-1 capitals as small letters) and their beginnings of 4, 5 and 6 bytes, hashed. The score
 is bias + sum of weights + sum over pairs of <v_i, v_j>, so that two terms together may say what neither says alone.
+Fitted are the terms that say most alone, and those of the pairs that say most together however little each says alone.
 """
 
 from __future__ import annotations
@@ -12,11 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callscape.llm.labelled import remainder, sample
 from callscape.llm.shingles import BYTE, U, mix, powers, slices
 
 BITS, FACTORS, FEATURES = 22, 8, 2048
+#: Of so many terms, those that the most rows hold, all pairs are looked at; the terms of the PAIRS best ones are kept besides, if they say more than PAIR_Z.
+PAIRED, PAIRS, PAIR_Z = 4096, 256, 6.0
+#: Bytes of a text whose terms are found at once, up to the end of a word.
+PIECE = 1 << 21
 STEMS = (4, 5, 6)
 #: Rows of either label that the model is fitted on at most.
 PER_CLASS = 3000
@@ -28,8 +34,7 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed term, text) for all words and beginnings, repeated ones too."""
+def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if not len(data):
         return none, none
@@ -62,6 +67,26 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out).astype(np.int64), np.concatenate(owner)
 
 
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed term, text) for all words and beginnings, distinct within a piece: a long text is taken piece by piece, each ending with a word."""
+    if len(data) <= PIECE:
+        return _terms(data, offsets)
+    found, begin = [], 0
+    while begin < len(data):
+        end = min(begin + PIECE, len(data))
+        while end < len(data) and LETTER[data[end]] and LETTER[data[end - 1]]:
+            rest = np.flatnonzero(~LETTER[data[end : end + PIECE]])
+            end = end + int(rest[0]) if len(rest) else min(end + PIECE, len(data))
+        inner = offsets[(offsets > begin) & (offsets < end)] - begin
+        term, text = _terms(data[begin:end], np.concatenate([[0], inner, [end - begin]]))
+        pair = np.unique(text << BITS | term)
+        first = np.searchsorted(offsets, begin, side="right") - 1  # the text that the piece begins in
+        skipped = np.searchsorted(offsets, begin + np.concatenate([[0], inner]), side="right") - 1
+        found.append((pair & ((1 << BITS) - 1), skipped[pair >> BITS] if len(pair) else pair + first))
+        begin = end
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 class Machine:
     """A fitted factorization machine; `index` holds the hashed terms it knows, in order."""
 
@@ -94,6 +119,32 @@ class Machine:
         self.__init__(*state)
 
 
+def _together(flat: np.ndarray, owner: np.ndarray, held: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The terms of pairs whose rows are toxic far more often than each one's rows are."""
+    common = np.argsort(-held, kind="stable")[:PAIRED]
+    common = common[held[common] >= LEAST_ROWS]
+    table = np.full(1 << BITS, -1, np.int32)
+    table[common] = np.arange(len(common), dtype=np.int32)
+    column = table[flat]
+    x = np.zeros((len(y), len(common)), np.float32)
+    x[owner[column >= 0], column[column >= 0]] = 1
+    n = np.maximum(x.sum(0), 1)
+    rate = np.clip((x.T @ y.astype(np.float32)) / n, 1e-3, 0.999)
+    toxic = x * y.astype(np.float32)[:, None]
+    best = [np.zeros((3, 0))]
+    for a in range(0, len(common), 512):
+        both, bad = x[:, a : a + 512].T @ x, toxic[:, a : a + 512].T @ x
+        expected = np.maximum(rate[a : a + 512, None], rate[None])
+        z = (bad - both * expected) / np.sqrt(np.maximum(both, 1) * expected * (1 - expected))
+        z[both < LEAST_ROWS] = 0
+        z[np.tri(*z.shape, a, dtype=bool)] = 0  # each pair once
+        i, j = np.nonzero(z > PAIR_Z)
+        best.append(np.stack([z[i, j], i + a, j]))
+    found = np.concatenate(best, 1)
+    found = found[:, np.argsort(-found[0], kind="stable")[:PAIRS]]
+    return common[np.unique(found[1:].astype(np.int64))]
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, shift: float = 0.0, rounds: int = 250) -> Machine:
     """rows: distinct hashed terms of each text. shift: log odds of the sample over those of the corpus."""
     n = len(rows)
@@ -107,8 +158,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, shift: float = 0.0, rounds: int =
     rate = y.mean()
     z = (toxic - held * rate) / np.sqrt(np.maximum(held, 1) * rate * (1 - rate))
     z[held < LEAST_ROWS] = 0
-    index = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
-    index = index[np.abs(z[index]) > 0]
+    alone = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
+    alone = alone[np.abs(z[alone]) > 0]
+    index = np.union1d(alone, _together(flat, owner, held, y))
     table = np.full(1 << BITS, -1, np.int64)
     table[index] = np.arange(len(index))
     column = table[flat]
@@ -146,7 +198,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    """Fitted on a bounded sample (see PER_CLASS) of labelled rows outside the held-out fold; at most FEATURES terms are kept."""
+    """Fitted on a bounded sample (see PER_CLASS) of labelled rows outside the held-out fold."""
     chosen, shift = sample(docs, labels, "toxic", FOLD, HELD, PER_CLASS)
     got = chosen.select("id", "text", F.col("y").cast("int").alias("y")).mapInArrow(_rows, "id long, y int, terms array<int>").toArrow().sort_by("id")
     lists = got.column("terms").combine_chunks()
@@ -167,7 +219,8 @@ def _score(machine: Machine):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score and predicted; null texts are empty texts, which have the score of the bias.
 
-    Repeated rows each get a row. Without labelled rows of both kinds all scores are the prior.
+    A long text is taken piece by piece. Repeated rows each get a row, an empty table none; a null doc_id is not held out.
+    Other columns are not read. Without labelled rows of both kinds all scores are the prior.
     """
     machine = train(docs, labels)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -176,11 +229,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model does not find toxic, with all columns, in one pass without a shuffle."""
+    """The documents that the model does not find toxic, with all columns, in one pass without a shuffle.
+
+    Null texts are empty ones; repeated rows fare alike; an empty table stays empty. Without labelled rows of both kinds
+    there is no model, and all documents stay.
+    """
     machine = train(docs, labels)
+    if not len(machine.index):
+        return docs
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["row"].dataType
-    from pyspark.sql import types as T
-
     scored = rows.mapInArrow(_score(machine), T.StructType([T.StructField("row", kind), T.StructField("score", T.DoubleType())]))
     return scored.where(F.col("score") < CUT).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
