@@ -60,11 +60,12 @@ def _secret_scan() -> str:
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(source, '') AS owner, concat_ws('/', coalesce(source, ''), coalesce(lang, '')) AS repo FROM documents),
 placed AS ({" UNION ALL ".join(per_kind)}),
-stats AS (SELECT value, count(DISTINCT owner) AS n_owners FROM placed GROUP BY value),
-spans AS (SELECT *, kind IN ({base}) AS base, n_owners <= {secrets.LIVE_OWNERS} AS live, concat(kind, ':', start::BIGINT, ':', finish::BIGINT) AS s FROM placed JOIN stats USING (value) WHERE kind IN ({base}) OR n_owners <= {secrets.LIVE_OWNERS}),
-per_doc AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)}, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied,
+stats AS (SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repo)) AS n_repos FROM placed GROUP BY value),
+judged AS (SELECT *, kind IN ({base}) AS base, n_owners = 1 OR (n_owners <= {secrets.LIVE_OWNERS} AND n_repos <= {secrets.LIVE_REPOS}) AS live, concat(kind, ':', start::BIGINT, ':', finish::BIGINT) AS s FROM placed JOIN stats USING (value)),
+spans AS (SELECT * FROM judged WHERE base OR live),
+per_doc AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)}, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, max(n_owners) AS most_owners, max(n_repos) AS most_repos,
   string_agg(s, ',' ORDER BY start, nth) FILTER (base) AS base_spans, string_agg(s, ',' ORDER BY start, nth) AS spans FROM spans GROUP BY doc_id)
-SELECT doc_id, {counts}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+SELECT doc_id, {counts}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repos, 0)::BIGINT AS most_repos
 FROM docs LEFT JOIN per_doc USING (doc_id)
 """
 

@@ -28,8 +28,12 @@ ADDED = {
 }
 KINDS = {**BASE, **ADDED}
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
-#: A value held by at most so many owners looks live.
-LIVE_OWNERS = 2
+#: A value looks live if one owner holds it, in however many repositories, or a few owners do in a few repositories.
+LIVE_OWNERS, LIVE_REPOS = 2, 3
+
+
+def looks_live(n_owners: Column, n_repos: Column) -> Column:
+    return (n_owners == 1) | ((n_owners <= LIVE_OWNERS) & (n_repos <= LIVE_REPOS))
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -109,7 +113,7 @@ def find(docs: DataFrame, store: Store, text: str = "text", owner: Column | None
     base = F.col("kind").isin(*BASE)
     spans = (
         placed.join(stats, "value")
-        .select("rid", "kind", "start", "end", "value", "n_owners", "n_repos", "n_found", base.alias("base"), (F.col("n_owners") <= LIVE_OWNERS).alias("live"))
+        .select("rid", "kind", "start", "end", "value", "n_owners", "n_repos", "n_found", base.alias("base"), looks_live(F.col("n_owners"), F.col("n_repos")).alias("live"))
         .where("base OR live")
     )
     return per_doc.select("rid", "doc_id"), spans
@@ -120,10 +124,11 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, most_owners, most_repos.
 
-    A document without secrets (or with null or empty text) has zero counts, the digest of the
-    empty string and empty spans. An empty table gives an empty result.
+    The last two are the most owners and repositories that hold any of the document's values. A document without
+    secrets (or with null or empty text) has zero counts, the digest of the empty string and empty spans. Repeated rows
+    are documents of their own. An empty table gives an empty result. Matching holds a text and its matches at once.
     """
     store = Store(docs.sparkSession, "secrets")
     per_doc, spans = find(docs, store)
@@ -134,8 +139,10 @@ def scan(docs: DataFrame) -> DataFrame:
         *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_copied"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repos").alias("most_repos"),
     )
-    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in (*(f"n_{k}" for k in BASE), "n_live", "n_copied")]
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in (*(f"n_{k}" for k in BASE), "n_live", "n_copied", "most_owners", "most_repos")]
     return per_doc.join(per_spans, "rid", "left").select(
         "doc_id",
         *counts[:3],
@@ -148,12 +155,13 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """The documents with every span found (base, and added ones that look live) replaced by a mark.
 
-    Overlapping spans become one mark; null texts stay null; all rows and columns stay, and a
-    column named n_chars is set to the new length where the text changed.
+    Overlapping spans become one mark; null and empty texts stay as they are; all rows and columns stay, repeated
+    ones too (which fare alike), and a column named n_chars is set to the new length where the text changed. An empty table stays empty.
     """
     store = Store(docs.sparkSession, "redact")
-    kept = store.save(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("key")), "docs")
-    body = kept.select(F.col("row.text").alias("text"), F.col("key").alias("doc_id"), *(F.col(f"row.{c}") if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")))
+    # (document, text) identifies a row; rows alike in both fare alike.
+    ident = [F.col("doc_id").cast("string").alias("key"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(3), "text").alias("g")]
+    body = docs.select("text", F.struct(*ident).alias("doc_id"), *(F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")))
     per_doc, spans = find(body, store)
     # Merge overlaps: a span starts a new island where it begins after all earlier ends.
     before = W.partitionBy("rid").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
@@ -164,12 +172,16 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     )
     last = F.coalesce(F.lag("end").over(W.partitionBy("rid").orderBy("start")), F.lit(0))
     cuts = islands.withColumn("from", last).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from"))).alias("cuts"))
-    cuts = per_doc.join(cuts, "rid").select(F.col("doc_id").alias("key"), "cuts")
+    cuts = per_doc.join(cuts, "rid").groupBy(*(F.col(f"doc_id.{c}").alias(f"cut_{c}") for c in ("key", "h", "g"))).agg(F.min("cuts").alias("cuts"))
+    cuts = store.save(cuts, "cuts")
+    store.only("cuts")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *ident)
     text = F.col("row.text")
     parts = F.transform("cuts", lambda c: F.concat(F.substring(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), F.lit(mark)))
     tail = F.expr("substring(row.text, cast(element_at(cuts, -1).`end` + 1 as int))")
     new = F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail))
-    out = kept.join(cuts, "key", "left").withColumn("new", new)
+    same = F.col("key").eqNullSafe(F.col("cut_key")) & (F.col("h") == F.col("cut_h")) & (F.col("g") == F.col("cut_g"))
+    out = rows.join(cuts, same, "left").withColumn("new", new)
     columns = []
     for c in docs.columns:
         old = F.col(f"row.`{c}`")
