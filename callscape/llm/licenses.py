@@ -118,15 +118,20 @@ def whole_digests(spark: SparkSession) -> DataFrame:
     return short.unionByName(full).groupBy("whole").agg(F.min("whole_license").alias("whole_license"))
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", more: DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, digest and license (null: no known licence is the whole text).
 
     The digest is that of canonical(). A text whose whole() is a known licence's has that licence too: canonical()
     loses licence wording in lines that begin with the word copyright, and keeps titles. A null or empty text has the
-    digest of the empty string and no licence. Repeated rows each get a row. Only doc_id and the text are read.
+    digest of the empty string and no licence. Repeated rows each get a row, an empty table none. Only doc_id and the text are read.
+    A long text is held a few times over. `more` (license, body) adds known texts, matched by whole(); of equal texts the smallest name holds.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     digests = docs.select("doc_id", F.sha2(canonical(body), 256).alias("digest"), F.sha2(whole(body), 256).alias("whole"))
     known = known_digests(docs.sparkSession)
-    found = digests.join(F.broadcast(known), "digest", "left").join(F.broadcast(whole_digests(docs.sparkSession)), "whole", "left")
+    full = whole_digests(docs.sparkSession)
+    if more is not None:
+        added = more.where("license IS NOT NULL AND body IS NOT NULL").select(F.col("license").alias("whole_license"), F.sha2(whole(F.col("body")), 256).alias("whole"))
+        full = full.unionByName(added).groupBy("whole").agg(F.min("whole_license").alias("whole_license"))
+    found = digests.join(F.broadcast(known), "digest", "left").join(F.broadcast(full) if more is None else full, "whole", "left")
     return found.select("doc_id", "digest", F.coalesce("license", "whole_license").alias("license"))
