@@ -20,6 +20,8 @@ from callscape.llm.shingles import slices
 WIDTH, STRIDE, FILTERS = 4, 2, 16
 #: Bytes of a chunk; chunks overlap by half.
 CHUNK, HIDDEN = 256, 16
+#: Half chunks that are scored at once.
+SPAN = 2048
 #: Rows of either label that the network is fitted on at most, and texts of a step.
 PER_CLASS, BATCH, EPOCHS = 1500, 64, 6
 FOLD, HELD, CUT = 3, 1, 0.5
@@ -87,6 +89,31 @@ class Network:
         keep |= lone  # the last half is inside the chunk before it, unless it is the only one
         return text, keep, pair / np.maximum(count, 1)[:, None], count, windows, row
 
+    def _averages(self, data: np.ndarray, offsets: np.ndarray):
+        """As _chunks, SPAN halves at a time: (text, which halves stand for a chunk, averages). Little more than a text's size is held."""
+        text, first = _halves(offsets)
+        ends = offsets[1:][text]
+        sums, count = np.zeros((len(text), FILTERS), np.float32), np.zeros(len(text), np.int64)
+        steps = np.arange(0, CHUNK // 2, STRIDE)[None]
+        for a in range(0, len(text) if len(data) else 0, SPAN):
+            at, end = first[a : a + SPAN, None] + steps, ends[a : a + SPAN, None]
+            live = at < end
+            n = live.sum(1)
+            flat, stop = at[live][:, None] + np.arange(WIDTH)[None], np.repeat(end[:, 0], n)[:, None]
+            r = self._responses(np.where(flat < stop, data[np.minimum(flat, len(data) - 1)], 0))
+            full = np.flatnonzero(n)
+            if len(full):
+                sums[a + full] = np.add.reduceat(r, (np.cumsum(n) - n)[full], axis=0)
+            count[a : a + SPAN] = n
+        follows = np.flatnonzero(text[1:] == text[:-1])
+        keep = np.ones(len(text), bool)
+        keep[1:] = text[1:] != text[:-1]
+        keep[follows] = True
+        after, n_after = sums[follows + 1], count[follows + 1]
+        sums[follows] += after
+        count[follows] += n_after
+        return text, keep, sums / np.maximum(count, 1)[:, None]
+
     def _pool(self, text: np.ndarray, keep: np.ndarray, average: np.ndarray, n_texts: int):
         chunk = np.flatnonzero(keep)
         a = average[chunk]
@@ -98,7 +125,7 @@ class Network:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probabilities of label 1 for the texts between offsets."""
         n = len(offsets) - 1
-        text, keep, average, *_ = self._chunks(data, offsets)
+        text, keep, average = self._averages(data, offsets)
         *_, top, _ = self._pool(text, keep, average, n)
         s = (top @ self.out).astype(np.float64) + float(self.bias3) - self.shift
         return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
@@ -197,7 +224,7 @@ def _score(net: Network):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score and predicted; a null text is an empty one, which is one chunk of padding.
 
-    Repeated rows each get a row. Without labelled rows of both kinds all scores are the prior.
+    A long text is read whole, a few times its size is held. Repeated rows each get a row, an empty table none; a null doc_id is not held out. Other columns are not read. Without labelled rows of both kinds all scores are the prior.
     """
     net = train(docs, labels)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
