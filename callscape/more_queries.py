@@ -59,37 +59,37 @@ ONE = f"SELECT 0 AS root, '{ROOT}' AS id"
 
 @_query(f"SELECT DISTINCT dst AS id FROM edges WHERE src = '{ROOT}' AND dst <> '{ROOT}'")
 def callees_of(f):
-    return traverse.reach(f.edges, _ids(f, ROOT), 1).select("id")
+    return traverse.reach(f.graph, _ids(f, ROOT), 1).select("id")
 
 
 @_query(_walk(f"SELECT 0 AS root, '{SINK}' AS id", 5, "dst", "src") + "SELECT id, depth FROM v WHERE depth > 0")
 def ancestors_of(f):
-    return traverse.reach(f.edges, _ids(f, SINK), 5, backward=True)
+    return traverse.reach(f.graph, _ids(f, SINK), 5, backward=True)
 
 
 @_query(_walk(ONE, 5) + "SELECT id FROM v WHERE depth > 0")
 def reachable_from(f):
-    return traverse.reach(f.edges, _ids(f, ROOT), 5).select("id")
+    return traverse.reach(f.graph, _ids(f, ROOT), 5).select("id")
 
 
 @_query(_walk(ONE, 20) + "SELECT id, depth FROM v")
 def bfs_levels(f):
-    return traverse.levels(f.edges, _ids(f, ROOT).withColumn("root", F.lit(0)), 20).select("id", "depth")
+    return traverse.levels(f.graph, _ids(f, ROOT).withColumn("root", F.lit(0)), 20).select("id", "depth")
 
 
 @_query(_walk("SELECT node_id AS root, node_id AS id FROM entrypoints", 5) + "SELECT root, id, depth FROM v")
 def batched_bfs(f):
-    return traverse.levels(f.edges, f.entrypoints.select(F.col("node_id").alias("root"), F.col("node_id").alias("id")), 5)
+    return traverse.levels(f.graph, f.entrypoints.select(F.col("node_id").alias("root"), F.col("node_id").alias("id")), 5)
 
 
 @_query(_walk(ONE, 20) + "SELECT count(*) - 1 AS blast_radius FROM v")
 def blast_radius(f):
-    return traverse.radius(f.edges, _ids(f, ROOT)).select("blast_radius")
+    return traverse.radius(f.graph, _ids(f, ROOT)).select("blast_radius")
 
 
 @_query(_walk("SELECT node_id AS root, node_id AS id FROM entrypoints", 20) + "SELECT root AS id, count(*) - 1 AS blast_radius FROM v GROUP BY root")
 def blast_radius_batch(f):
-    return traverse.radius(f.edges, f.entrypoints.select(F.col("node_id").alias("id")))
+    return traverse.radius(f.graph, f.entrypoints.select(F.col("node_id").alias("id")))
 
 
 TOP = f"SELECT id FROM nodes WHERE {FUNCTIONS} ORDER BY coalesce(complexity, 0) DESC, id LIMIT 150"
@@ -98,24 +98,24 @@ TOP = f"SELECT id FROM nodes WHERE {FUNCTIONS} ORDER BY coalesce(complexity, 0)
 @_query(_walk(f"SELECT id AS root, id FROM ({TOP})", 20) + "SELECT root AS id, count(*) - 1 AS blast_radius FROM v GROUP BY root ORDER BY 2 DESC, 1 LIMIT 50")
 def blast_radius_top_n(f):
     top = graph.functions(f.nodes).orderBy(F.desc(F.coalesce("complexity", F.lit(0))), "id").limit(150)
-    return traverse.radius(f.edges, top.select("id")).orderBy(F.desc("blast_radius"), "id").limit(50)
+    return traverse.radius(f.graph, top.select("id")).orderBy(F.desc("blast_radius"), "id").limit(50)
 
 
 @_query(_walk(ENTRY, 50) + f"SELECT id FROM nodes WHERE {FUNCTIONS} AND id NOT IN (SELECT id FROM v)")
 def unreachable_from_entrypoints(f):
-    return traverse.unreachable(graph.functions(f.nodes), f.edges, f.entrypoints).select("id")
+    return traverse.unreachable(graph.functions(f.nodes), f.graph, f.entrypoints).select("id")
 
 
 @_query(_walk(ENTRY, 50) + f"SELECT count(*) AS total, count(*) FILTER (WHERE id NOT IN (SELECT id FROM v)) AS unreachable FROM nodes WHERE {FUNCTIONS}")
 def unreachable_stats(f):
     functions = graph.functions(f.nodes)
-    n = traverse.unreachable(functions, f.edges, f.entrypoints).select("id", F.lit(1).alias("no"))
+    n = traverse.unreachable(functions, f.graph, f.entrypoints).select("id", F.lit(1).alias("no"))
     return functions.join(n, "id", "left").agg(F.count("*").alias("total"), F.count("no").alias("unreachable"))
 
 
 @_query(_walk(ENTRY, 20) + "SELECT id FROM v")
 def reachable_from_entrypoints(f):
-    return traverse.levels(f.edges, f.entrypoints.select(F.lit(0).alias("root"), F.col("node_id").alias("id")), 20).select("id")
+    return traverse.levels(f.graph, f.entrypoints.select(F.lit(0).alias("root"), F.col("node_id").alias("id")), 20).select("id")
 
 
 @_query(f"SELECT count(*) AS total, count(*) FILTER (WHERE id NOT IN (SELECT dst FROM edges) AND id NOT IN (SELECT node_id FROM entrypoints)) AS dead FROM nodes WHERE {FUNCTIONS}")
@@ -134,12 +134,12 @@ def _paths(sources: str, depth: int, limit: int) -> str:
 
 @_query(_paths(f"SELECT '{ROOT}' AS id", 5, 5))
 def paths_between(f):
-    return traverse.shortest_first(traverse.paths(f.edges, _ids(f, ROOT), _ids(f, SINK), 5), 5)
+    return traverse.shortest_first(traverse.paths(f.graph, _ids(f, ROOT), _ids(f, SINK), 5), 5)
 
 
 @_query(_paths("SELECT DISTINCT node_id AS id FROM entrypoints", 4, 10))
 def entrypoint_paths_to(f):
-    return traverse.shortest_first(traverse.paths(f.edges, f.entrypoints.select(F.col("node_id").alias("id")), _ids(f, SINK), 4), 10)
+    return traverse.shortest_first(traverse.paths(f.graph, f.entrypoints.select(F.col("node_id").alias("id")), _ids(f, SINK), 4), 10)
 
 
 @_query("WITH RECURSIVE w(id) AS (SELECT 'r:1' UNION SELECT child FROM w JOIN inherits ON parent = id) SELECT id FROM w WHERE id <> 'r:1'")
@@ -245,7 +245,7 @@ CORRELATE = (
 
 
 def _correlated(f):
-    return rank.correlate(f.nodes, f.edges, f.annotations, f.entrypoints)
+    return rank.correlate(f.nodes, f.graph, f.annotations, f.entrypoints)
 
 
 @_query(CORRELATE + "SELECT * FROM r")

@@ -26,8 +26,18 @@ def resolve(nodes: DataFrame, name: str) -> DataFrame:
 
 def callers(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Distinct direct callers (id) of all nodes of a name, phantoms too, without those nodes."""
-    ids = resolve(nodes.select("id", "name").unionByName(phantoms(nodes, edges)), name)
-    return edges.join(ids, F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("id")).distinct().join(ids, "id", "left_anti")
+    return _neighbours(nodes, edges, name, "dst", "src")
+
+
+def callees(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """Distinct direct callees (id) of all nodes of a name, without those nodes."""
+    return _neighbours(nodes, edges, name, "src", "dst")
+
+
+def _neighbours(nodes: DataFrame, edges: DataFrame, name: str, near: str, far: str) -> DataFrame:
+    # An end without a node is named after its id, so its id alone tells: no search for phantoms, and no shuffle of the edges.
+    ids = resolve(nodes, name).unionByName(edges.where((F.col(near) == name) | F.col(near).endswith(":" + name)).select(F.col(near).alias("id"))).distinct()
+    return edges.join(ids, F.col(near) == F.col("id"), "left_semi").select(F.col(far).alias("id")).distinct().join(ids, "id", "left_anti")
 
 
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -62,8 +72,34 @@ def search_functions(nodes: DataFrame, pattern: str) -> DataFrame:
 
 
 def merge(*parts: DataFrame) -> DataFrame:
-    """The union of node tables, one row an id."""
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.dropDuplicates(["id"])
+    """The union of node tables, one row an id: that of the first table that has it."""
+    rows = None
+    for i, part in enumerate(parts):
+        part = part.select("id", F.struct(F.lit(i).alias("nth"), *part.columns).alias("row"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("id").agg(F.min("row").alias("row")).select(*(f"row.{c}" for c in parts[0].columns))
+
+
+def records(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All nodes, phantoms too, with defaults where something is missing: complexity 0, lines 0, no file."""
+    missing = phantoms(nodes, edges).select("id", "name", F.col("name").alias("qualified_name"), F.lit("function").alias("kind"), F.lit("").alias("file_path"), F.lit(True).alias("is_phantom"))
+    rows = nodes.withColumn("is_phantom", F.lit(False)).unionByName(missing, allowMissingColumns=True)
+    return rows.select(
+        "id", "name", F.coalesce("qualified_name", "name").alias("qualified_name"), F.coalesce("kind", F.lit("function")).alias("kind"), F.coalesce("file_path", F.lit("")).alias("file_path"),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("start_line", "end_line", "complexity")), "is_phantom",
+    )
+
+
+# Names that are entrypoints, by what they trust.
+ENTRYPOINT_RULES = {"main": r"^(?:main|wmain|WinMain)$", "handler": r"(?i)^(?:handle|on)_", "fuzzer": r"^LLVMFuzzerTestOneInput$"}
+
+
+def detect_entrypoints(nodes: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """(node_id, name, trust_level) of functions whose name matches a rule; the first rule that does holds."""
+    level = F.coalesce(*(F.when(F.col("name").rlike(pattern), F.lit(kind)) for kind, pattern in (ENTRYPOINT_RULES if rules is None else rules).items()))
+    return functions(nodes).select(F.col("id").alias("node_id"), "name", level.alias("trust_level")).where("trust_level IS NOT NULL")
+
+
+def share(part, whole):
+    """A percentage of one decimal, over 1 at least."""
+    return F.round(F.lit(100.0) * part / F.greatest(whole, F.lit(1)), 1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callscape.operators.consteval import evaluate
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -19,19 +21,23 @@ class Shape:
 
 
 SHAPES = {
-    "constants": Shape(r"\b(?:constexpr|static +const|enum)\b[^=]*\b(\w+) *= *([^;{]+)", 1, 2),
-    "types": Shape(r"\b(?:using|typedef|enum +class|class|struct)\s+(\w+)", 1),
-    "assertions": Shape(r"\b(static_assert|D?CHECK\w*) *\((.*)\)", 1, 2),
-    "bitfields": Shape(r"\b(\w+) *= *\w+< *\w+ *, *\d+ *, *(\d+) *>", 1, 2),
-    "macros": Shape(r"^ *# *define +(\w+)\([^)]*\) *(.*)$", 1, 2),
-    "narrowing_casts": Shape(r"static_cast< *(u?int(?:8|16|32)_t) *>\(([^;]*(?:size|count|index|length|offset|num_)[^;]*)\)", 1, 2),
+    "constants": Shape(r"\b(?:constexpr|static\s+const|enum)\b[^=]*\b(\w+)\s*=\s*([^;{]+)", 1, 2),
+    "types": Shape(r"\b(?:using|typedef|enum\s+class|class|struct)\s+(\w+)", 1),
+    "assertions": Shape(r"\b(static_assert|D?CHECK\w*)\s*\((.*?)(?:\)\s*;?\s*)?$", 1, 2),
+    "bitfields": Shape(r"\b(\w+)\s*[=:]\s*(?:public\s+)?(?:\w+::)*\w+\s*<\s*[\w:]+\s*,\s*\d+\s*,\s*(\d+)\s*>", 1, 2),
+    "macros": Shape(r"^\s*#\s*define\s+(\w+)(?:\([^)]*\))?\s*(.*)$", 1, 2),
+    "narrowing_casts": Shape(r"static_cast\s*<\s*(u?int(?:8|16|32)_t)\s*>\s*\(((?:[^()]|\([^()]*\))*)\)", 1, 2),
 }
+# Words that make a cast's argument a size.
+SIZES = "size|count|index|length|offset|num_"
 
 
 def search(lines: DataFrame, kind: str, pattern: str = "") -> DataFrame:
     """Lines of a shape that also match the pattern, whatever the case: file, line_no, name, value."""
     shape = SHAPES[kind]
     found = lines.where(F.col("text").rlike(shape.pattern))
+    if kind == "narrowing_casts":
+        found = found.where(F.regexp_extract("text", shape.pattern, shape.value).rlike(SIZES))
     if pattern:
         found = found.where(F.col("text").rlike("(?i)" + pattern))
     value = F.trim(F.regexp_extract("text", shape.pattern, shape.value)) if shape.value else F.lit("")
@@ -49,19 +55,76 @@ def with_context(lines: DataFrame, pattern: str, around: int) -> DataFrame:
     return near.join(lines, ["file", "line_no"]).select("file", F.col("hit"), "line_no", F.rtrim("text").alias("text"))
 
 
-def bitfield_risks(lines: DataFrame) -> DataFrame:
-    """Bit fields of ten bits or more against the constant and the assertions that name them.
+def valid(pattern: str) -> bool:
+    """Whether a user's pattern is a regular expression."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
+def constants(lines: DataFrame, pattern: str = "") -> DataFrame:
+    """Constants with their numbers, null where the value is no arithmetic of numbers."""
+    return search(lines, "constants", pattern).withColumn("numeric_value", evaluate(F.col("value")))
+
+
+def widths(lines: DataFrame, pattern: str = "") -> DataFrame:
+    """Bit fields with their width in words: bits, and how many values they hold."""
+    bits = F.col("value").cast("int")
+    held = F.format_number(F.expr("shiftleft(1L, cast(value AS int))"), 0)
+    return search(lines, "bitfields", pattern).where(bits < 63).withColumn("value", F.concat(bits.cast("string"), F.lit(" bits (max "), held, F.lit(")")))
+
+
+#: Of a name so many letters must be found before the whole of it is looked for.
+GRAM = 4
+
+
+def _grams(name):
+    low = F.lower(name)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - (GRAM - 1)), lambda i: F.substring(low, i, GRAM)))
+
+
+def _mentions(fields: DataFrame, texts: DataFrame) -> DataFrame:
+    """fields (name) with texts (text and others) that hold the name, whatever the case. A join on a name's first letters before the exact test."""
+    texts = texts.where(F.length("text") >= GRAM)
+    keyed = fields.withColumn("gram", F.lower(F.substring("name", 1, GRAM)))
+    # Only letters that some name begins with are kept of the texts.
+    first = keyed.select("gram").distinct()
+    dealt = texts.withColumn("gram", F.explode(_grams(F.col("text")))).join(first, "gram", "left_semi")
+    return keyed.join(dealt, "gram").where(F.contains(F.lower("text"), F.lower("name"))).drop("gram")
+
+
+def bitfield_risks(lines: DataFrame, least: int = 10) -> DataFrame:
+    """Bit fields of `least` bits or more against the first constant and any assertion that name them, riskiest first.
 
-    The join is on the field's name, taken from each line's words, instead of a substring search in all lines.
+    An assertion protects a field if its text holds the field's name and a shift; a constant belongs to the field if its name,
+    without a leading k and Max, is in the field's name or holds it. Capacity is 2^bits, and the margin what it is over the constant.
     """
-    fields = search(lines, "bitfields").select("file", "line_no", "name", F.col("value").cast("int").alias("bits")).where((F.col("bits") >= 10) & (F.length("name") > 3))
-    asserted = search(lines, "assertions").select(F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(r"(\w+)"), 1))).alias("name")).distinct().withColumn("protected", F.lit(True))
-    constants = search(lines, "constants").select(F.regexp_replace("name", "^kMax", "").alias("stem"), F.col("value").try_cast("bigint").alias("constant"), "file", "line_no")
-    first = W.partitionBy("stem").orderBy("file", "line_no")
-    constants = constants.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("stem", "constant")
-    rows = fields.withColumn("stem", F.regexp_replace("name", "Field$", "")).join(asserted, "name", "left").join(constants, "stem", "left")
+    bits = F.col("value").cast("int")
+    fields = search(lines, "bitfields").select("file", "line_no", "name", bits.alias("bits")).where((bits >= least) & (bits < 63) & (F.length("name") > 3)).distinct()
+    names = fields.select("name").distinct()
+    asserted = search(lines, "assertions").where(F.contains("value", F.lit("<<"))).select(F.col("value").alias("text")).distinct()
+    protected = _mentions(names, asserted).select("name").distinct().withColumn("protected", F.lit(True))
+    known = constants(lines).where("numeric_value IS NOT NULL").select(F.col("name").alias("text"), F.col("numeric_value").alias("constant"), "file", "line_no")
+    # The constant's name holds the field's, or the field's stem.
+    stems = names.withColumn("field", F.col("name")).withColumn("name", F.regexp_replace("name", "(?i)(?:field|bits)$", "")).where(F.length("name") > 3)
+    both = names.withColumn("field", F.col("name")).unionByName(stems).distinct()
+    best = _mentions(both, known).groupBy("field").agg(F.min(F.struct("file", "line_no", "text", "constant")).alias("c"))
+    best = best.select(F.col("field").alias("name"), F.col("c.text").alias("constant_name"), F.col("c.constant").alias("constant"))
+    rows = fields.join(protected, "name", "left").join(best, "name", "left")
     capacity = F.expr("shiftleft(1L, bits)")
     margin = capacity - F.col("constant")
-    tight = F.round(F.lit(100.0) * margin / capacity, 1) < 5
-    risk = F.when(margin <= 0, "overflow").when(tight, "tight").when(F.col("protected").isNull() & (F.col("bits") >= 14), "unprotected").otherwise("safe")
-    return rows.select("file", "line_no", "name", "bits", "constant", risk.alias("risk"))
+    percent = F.round(F.lit(100.0) * margin / capacity, 1)
+    risk = F.when(margin <= 0, "overflow").when(percent < 5, "tight").when(F.col("protected").isNull() & (F.col("bits") >= 14), "unprotected").otherwise("safe")
+    out = rows.select(
+        "file", "line_no", "name", "bits", capacity.alias("capacity"), "constant_name", "constant", margin.alias("margin"), percent.alias("margin_pct"),
+        F.coalesce("protected", F.lit(False)).alias("protected"), risk.alias("risk"),
+    )
+    rank = F.when(F.col("risk") == "overflow", 0).when(F.col("risk") == "tight", 1).when(F.col("risk") == "unprotected", 2).otherwise(3)
+    return out.orderBy(rank, F.desc("bits"), "file", "line_no")
+
+
+def first_matches(found: DataFrame, limit: int = 50) -> DataFrame:
+    """The first matches by file and line."""
+    return found.orderBy("file", "line_no").limit(limit)
