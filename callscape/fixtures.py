@@ -61,12 +61,12 @@ UNION ALL SELECT 'README.md', 'readme' UNION ALL SELECT 'setup.py', 'setup'
 """
 CODE = """
 SELECT 'inc/c' || p_partkey || '.h' AS file, CAST(n AS BIGINT) AS line_no, CASE n
- WHEN 1 THEN '#include "c' || (p_partkey - p_partkey % 10) || '.h"' WHEN 2 THEN 'class C' || p_partkey || CASE WHEN p_partkey > 10 THEN ' : public C' || (p_partkey - p_partkey % 10 - 5) ELSE '' END || ' {'
- WHEN 3 THEN '  virtual void run' || p_size % 3 || '();' WHEN 4 THEN '  void stop' || p_size % 2 || '(int x) const override;' ELSE '};' END AS text FROM {part}, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) WHERE p_partkey % 5 = 0
+ WHEN 1 THEN '#include "c' || (p_partkey - p_partkey % 10) || '.h"' WHEN 2 THEN 'class C' || p_partkey || CASE WHEN p_partkey > 15 THEN ' : public C' || (CAST(floor(p_partkey / 3) AS BIGINT) - CAST(floor(p_partkey / 3) AS BIGINT) % 5) ELSE '' END || ' {{'
+ WHEN 3 THEN '  virtual void run' || p_size % 3 || '();' WHEN 4 THEN '  void stop' || p_size % 2 || '(int x) const override;' ELSE '}};' END AS text FROM {part}, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) WHERE p_partkey % 5 = 0
 UNION ALL SELECT 'src/c' || p_partkey || '.cc', CAST(n AS BIGINT), CASE n
- WHEN 1 THEN '#include "inc/c' || p_partkey || '.h"' WHEN 2 THEN 'void C' || p_partkey || '::run' || p_size % 3 || '() {' WHEN 3 THEN '  C' || (p_partkey - p_partkey % 10) || ' obj;'
- WHEN 4 THEN '  if (x) { obj.run' || p_size % 3 || '(); obj.stop1(2); }' WHEN 5 THEN '  helper' || (p_partkey + 5) || '(1);' WHEN 6 THEN '}' WHEN 7 THEN 'static int helper' || p_partkey || '(int x) {'
- WHEN 8 THEN '  register_cb(&helper' || (p_partkey + 10) || ');' WHEN 9 THEN '  while (x) { x--; }' ELSE '}' END FROM {part}, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) WHERE p_partkey % 5 = 0
+ WHEN 1 THEN '#include "inc/c' || p_partkey || '.h"' WHEN 2 THEN 'void C' || p_partkey || '::run' || p_size % 3 || '() {{' WHEN 3 THEN '  C' || (p_partkey - p_partkey % 10) || ' obj;'
+ WHEN 4 THEN '  if (x) {{ obj.run' || p_size % 3 || '(); obj.stop1(2); }}' WHEN 5 THEN '  helper' || (p_partkey + 5) || '(1);' WHEN 6 THEN '}}' WHEN 7 THEN 'static int helper' || p_partkey || '(int x) {{'
+ WHEN 8 THEN '  register_cb(&helper' || (p_partkey + 10) || ');' WHEN 9 THEN '  while (x) {{ x--; }}' ELSE '}}' END FROM {part}, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) WHERE p_partkey % 5 = 0
 """
 TYPED_EDGES = "SELECT src, dst, 'calls' AS kind FROM {edges} UNION ALL SELECT child, parent, 'inherits' FROM {inherits} UNION ALL SELECT file, includes, 'includes' FROM {includes}"
 SARIF = """

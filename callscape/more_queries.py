@@ -125,16 +125,19 @@ def dead_code_stats(f):
     return functions.join(dead, "id", "left").agg(F.count("*").alias("total"), F.count("no").alias("dead"))
 
 
-def _paths(sources: str, depth: int, limit: int) -> str:
+def _paths(sources: str, depth: int, limit: int, sink: str = SINK) -> str:
     return (
         f"WITH RECURSIVE w(path, id) AS (SELECT [id], id FROM ({sources}) UNION ALL SELECT list_append(path, dst), dst FROM w JOIN (SELECT DISTINCT src, dst FROM edges) ON src = id "
-        f"WHERE len(path) <= {depth} AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS hops FROM w WHERE id = '{SINK}' ORDER BY 2, 1 LIMIT {limit}"
+        f"WHERE len(path) <= {depth} AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS hops FROM w WHERE id = '{sink}' ORDER BY 2, 1 LIMIT {limit}"
     )
 
 
-@_query(_paths(f"SELECT '{ROOT}' AS id", 5, 5))
+FROM, TO = "p:115", "s:16"  # linked by several paths at sf0.01
+
+
+@_query(_paths(f"SELECT '{FROM}' AS id", 5, 20, TO))
 def paths_between(f):
-    return traverse.shortest_first(traverse.paths(f.graph, _ids(f, ROOT), _ids(f, SINK), 5), 5)
+    return traverse.shortest_first(traverse.paths(f.graph, _ids(f, FROM), _ids(f, TO), 5), 20)
 
 
 @_query(_paths("SELECT DISTINCT node_id AS id FROM entrypoints", 4, 10))
@@ -313,14 +316,6 @@ def search_with_context(f):
     return lines.with_context(f.lines, "LIM_1", 2)
 
 
-@_query(
-    "WITH RECURSIVE b AS (SELECT replace(p_name, ' ', '') || p_partkey AS stem, p_brand || '/' || p_type AS file, CAST(p_partkey * 10 + 1 AS BIGINT) AS line_no, CAST(1 + p_size % 24 AS INT) AS bits, CAST(p_size * 1024 AS BIGINT) AS k, p_partkey % 3 = 0 AS p FROM part) "
-    "SELECT file, line_no, stem || 'Field' AS name, bits, k AS \"constant\", CASE WHEN (1 << bits) - k <= 0 THEN 'overflow' WHEN round(100.0 * ((1 << bits) - k) / (1 << bits), 1) < 5 THEN 'tight' WHEN NOT p AND bits >= 14 THEN 'unprotected' ELSE 'safe' END AS risk FROM b WHERE bits >= 10"
-)
-def cross_reference_bitfields(f):
-    return lines.bitfield_risks(f.lines)
-
-
 EXTS = ", ".join(f"('{e}', '{lang}')" for lang, es in files.EXTENSIONS.items() for e in es)
 SKIP = ", ".join(f"'{s}'" for s in files.SKIPPED)
 DISCOVER = f"WITH RECURSIVE x(ext, language) AS (VALUES {EXTS}), found AS (SELECT path, language FROM files JOIN x ON lower(regexp_extract(path, '([.][^./]*)$', 1)) = ext WHERE len(list_filter(string_split(path, '/')[:-2], lambda s: s IN ({SKIP}) OR starts_with(s, '.'))) = 0) "
@@ -354,16 +349,11 @@ def incremental_changed(f):
     return files.changed(f.files, f.files_b)
 
 
-@_query("SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS name, count(*) AS estimated_files FROM files GROUP BY 1")
+@_query("SELECT 'root' AS name, false AS is_third_party, count(*) AS estimated_files FROM files")
 def plan_partitions(f):
     return files.partitions(f.files)
 
 
-@_query("SELECT src, dst, 'calls' AS kind FROM edges")
-def call_edges(f):
-    return f.edges.select("src", "dst", F.lit("calls").alias("kind"))
-
-
 @_query("SELECT id, kind FROM nodes_a UNION SELECT id, kind FROM nodes_b")
 def graph_merge(f):
     return graph.merge(f.nodes_a, f.nodes_b).select("id", "kind")
@@ -379,11 +369,6 @@ def bounded_envelope(f):
     return paging.envelope(graph.callers(f.nodes, f.edges, SINK), limit=5, offset=2)
 
 
-@_query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines FROM documents WHERE text IS NOT NULL")
-def source_lines(f):
-    return files.lines(f.table("documents").where("text IS NOT NULL").select("doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.count("*").cast("int").alias("n_lines"))
-
-
 @_query("WITH RECURSIVE hits AS (SELECT file, line_no FROM lines WHERE contains(text, 'static_assert')) SELECT file, line_no, id FROM (SELECT h.file, h.line_no, id, row_number() OVER (PARTITION BY h.file, h.line_no ORDER BY end_line - start_line, id) AS n FROM hits h JOIN nodes ON file_path = h.file AND h.line_no BETWEEN start_line AND end_line) WHERE n = 1")
 def augment_sarif(f):
     return rank.locate(f.nodes, f.lines.where(F.col("text").contains("static_assert")).select("file", "line_no")).select("file", "line_no", "id")
@@ -406,7 +391,7 @@ _ANY = " OR ".join(f"f{i} > 0" for i in range(len(TERMS)))
     f"st AS (SELECT count(*) AS n, avg(dl) AS al, {_DF} FROM tf) SELECT doc_id, round(CAST({_SCORE} AS DOUBLE), 6) AS score FROM tf, st WHERE {_ANY} ORDER BY round(CAST({_SCORE} AS DOUBLE), 6) DESC, doc_id LIMIT 10"
 )
 def semantic_search(f):
-    return retrieve.bm25(f.table("documents"), "doc_id", TERMS, 10)
+    return retrieve.bm25(retrieve.Index.build(f.table("documents"), "doc_id"), TERMS, 10).select(F.col("key").alias("doc_id"), "score")
 
 
 @_query(

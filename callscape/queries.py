@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from callscape import audit_queries  # registers its queries
 from callscape.fixtures import Fixtures, oracle
 from callscape.more_queries import MORE, MORE_ORACLES
 from callscape.operators import graph

@@ -58,4 +58,4 @@ def test_discovery(spark):
 
 def test_bm25_prefers_rare_and_dense(spark):
     rows = spark.createDataFrame([(1, "cat cat"), (2, "cat dog dog dog"), (3, None), (4, "dog")], "id long, text string")
-    assert [r.id for r in retrieve.bm25(rows, "id", ["cat"], 5).collect()] == [1, 2]
+    assert [r.id for r in retrieve.bm25(retrieve.Index.build(rows, "id"), ["cat"], 5).withColumnRenamed("key", "id").collect()] == [1, 2]
