@@ -71,16 +71,16 @@ def components(edges: DataFrame, store: Store, name: str) -> DataFrame:
         state = tuple(now)
         # Large star: larger neighbours of a node move to the smallest neighbour.
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = store.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{turn}-a")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").mapInArrow(_local, "u long, v long").distinct()
-        large = store.save(large, f"{name}-{turn}-b")
+        large = store.save(large, f"{name}-{turn}-large")
         # Small star: smaller neighbours of a node, and itself, move to the smallest of them.
-        least = store.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{turn}-c")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         small = small.where("u <> v").mapInArrow(_local, "u long, v long").distinct()
         new = store.save(small, f"{name}-{turn + 1}")
-        store.drop(f"{name}-{turn}", f"{name}-{turn}-a", f"{name}-{turn}-b", f"{name}-{turn}-c")
+        store.drop(f"{name}-{turn}", f"{name}-{turn}-large")
         stars, turn = new, turn + 1
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return store.save(stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), f"{name}-components")

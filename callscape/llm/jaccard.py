@@ -42,7 +42,7 @@ SPARE = 0.5
 #: Low bits of an entry that name its band's scheme.
 SCHEMES = 64
 #: The entries are counted and joined in so many rounds, by the bits above those, so that only a round's share of them is ever shuffled at once.
-ROUNDS = 8
+ROUNDS = 4
 #: Sets and elements that a comparison block holds at most (a single set may be larger).
 BLOCK_SETS, BLOCK_ELEMENTS = 128, 1_000_000
 
