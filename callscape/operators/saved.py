@@ -38,6 +38,10 @@ class Saved:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def all(self, like: DataFrame) -> DataFrame:
+        """Everything saved here so far, which must be of one schema, as one scan."""
+        return self.spark.read.schema(like.schema).parquet(*(f"{self.root}/{n}" for n in range(1, self.n + 1)))
+
     def bucketed(self, df: DataFrame, key: str) -> DataFrame:
         """df bucketed and sorted by key, a bucket for each shuffle partition: a join on the key moves only the other side."""
         self.n += 1

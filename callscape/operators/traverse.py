@@ -51,7 +51,7 @@ def levels(edges: DataFrame | Graph, seeds: DataFrame, depth: int, backward: boo
         frontier = saved.save(found.withColumn("depth", F.lit(at)))
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier)
+        visited = saved.all(frontier)
         if budget is not None and (seen := seen + frontier.count()) >= budget:
             break
     return visited
