@@ -119,30 +119,35 @@ class Machine:
         self.__init__(*state)
 
 
-def _together(flat: np.ndarray, owner: np.ndarray, held: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The terms of pairs whose rows are toxic far more often than each one's rows are."""
+#: Columns of the matrix of common terms that are looked at together.
+COLUMNS = 512
+
+
+def _together(column: np.ndarray, owner: np.ndarray, held: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The terms of pairs whose rows are toxic far more often than each one's rows are. Holds a byte for each row and common term."""
     common = np.argsort(-held, kind="stable")[:PAIRED]
-    common = common[held[common] >= LEAST_ROWS]
-    table = np.full(1 << BITS, -1, np.int32)
+    table = np.full(len(held), -1, np.int32)
     table[common] = np.arange(len(common), dtype=np.int32)
-    column = table[flat]
-    x = np.zeros((len(y), len(common)), np.float32)
-    x[owner[column >= 0], column[column >= 0]] = 1
-    n = np.maximum(x.sum(0), 1)
-    rate = np.clip((x.T @ y.astype(np.float32)) / n, 1e-3, 0.999)
-    toxic = x * y.astype(np.float32)[:, None]
-    best = [np.zeros((3, 0))]
-    for a in range(0, len(common), 512):
-        both, bad = x[:, a : a + 512].T @ x, toxic[:, a : a + 512].T @ x
-        expected = np.maximum(rate[a : a + 512, None], rate[None])
-        z = (bad - both * expected) / np.sqrt(np.maximum(both, 1) * expected * (1 - expected))
-        z[both < LEAST_ROWS] = 0
-        z[np.tri(*z.shape, a, dtype=bool)] = 0  # each pair once
-        i, j = np.nonzero(z > PAIR_Z)
-        best.append(np.stack([z[i, j], i + a, j]))
-    found = np.concatenate(best, 1)
-    found = found[:, np.argsort(-found[0], kind="stable")[:PAIRS]]
-    return common[np.unique(found[1:].astype(np.int64))]
+    at = table[column]
+    x = np.zeros((len(y), len(common)), np.uint8)
+    x[owner[at >= 0], at[at >= 0]] = 1
+    rate = np.clip(toxic[common].astype(np.float32) / held[common].astype(np.float32), 1e-3, 0.999)
+    y32 = y.astype(np.float32)[:, None]
+    best = np.zeros((3, 0))
+    for a in range(0, len(common), COLUMNS):
+        left = x[:, a : a + COLUMNS].astype(np.float32)
+        bad_left = left * y32
+        for b in range(a, len(common), COLUMNS):
+            right = x[:, b : b + COLUMNS].astype(np.float32)
+            both, bad = left.T @ right, bad_left.T @ right
+            expected = np.maximum(rate[a : a + COLUMNS, None], rate[None, b : b + COLUMNS])
+            z = (bad - both * expected) / np.sqrt(np.maximum(both, 1) * expected * (1 - expected))
+            z[both < LEAST_ROWS] = 0
+            z[np.tri(*z.shape, a - b, dtype=bool)] = 0  # each pair once
+            i, j = np.nonzero(z > PAIR_Z)
+            best = np.concatenate([best, np.stack([z[i, j], i + a, j + b])], 1)
+            best = best[:, np.lexsort((best[2], best[1], -best[0]))[:PAIRS]]
+    return common[np.unique(best[1:].astype(np.int64))]
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, shift: float = 0.0, rounds: int = 250) -> Machine:
@@ -151,21 +156,29 @@ def fit(rows: list[np.ndarray], y: np.ndarray, shift: float = 0.0, rounds: int =
     if not n or y.min() == y.max():
         prior = (y.sum() + 0.5) / (n + 1) if n else 0.5
         return Machine(np.zeros(0, np.int64), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, FACTORS)))
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     flat = np.concatenate(rows)
     held = np.bincount(flat, minlength=1 << BITS)
-    toxic = np.bincount(flat, y[owner], minlength=1 << BITS)
+    known = np.flatnonzero(held >= LEAST_ROWS)
+    held = held[known]
+    table = np.full(1 << BITS, -1, np.int32)
+    table[known] = np.arange(len(known), dtype=np.int32)
+    column = table[flat]
+    del table, flat
+    column, owner = column[column >= 0], owner[column >= 0]
+    toxic = np.bincount(column, y[owner], minlength=len(known))
     rate = y.mean()
-    z = (toxic - held * rate) / np.sqrt(np.maximum(held, 1) * rate * (1 - rate))
-    z[held < LEAST_ROWS] = 0
+    z = (toxic - held * rate) / np.sqrt(held * rate * (1 - rate))
     alone = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
     alone = alone[np.abs(z[alone]) > 0]
-    index = np.union1d(alone, _together(flat, owner, held, y))
-    table = np.full(1 << BITS, -1, np.int64)
-    table[index] = np.arange(len(index))
-    column = table[flat]
+    chosen = np.union1d(alone, _together(column, owner, held, toxic, y))
+    index = known[chosen]
+    place = np.full(len(known), -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    column = place[column]
     x = np.zeros((n, len(index)), np.float32)
     x[owner[column >= 0], column[column >= 0]] = 1
+    del column, owner
     rng = np.random.default_rng(5)
     w = np.zeros(len(index), np.float32)
     v = rng.normal(0, 0.01, (len(index), FACTORS)).astype(np.float32)
