@@ -120,8 +120,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return key & U((1 << 56) - 1), np.searchsorted(key >> U(56), np.arange(n + 1, dtype=np.uint64)).astype(np.int64)
 
 
-def slices(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, bytes, offsets) of runs of texts from an Arrow string array; null texts are empty."""
+def slices(texts, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last + 1, bytes, offsets) of runs of texts, of `size` bytes at most or one text, from an Arrow string array; null texts are empty."""
     import pyarrow as pa
 
     array = texts.cast(pa.large_binary())
@@ -133,7 +133,7 @@ def slices(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_BYTES, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + size, side="right")) - 1)
         last = min(last, n, first + SLICE_TEXTS)
         yield first, last, data[ends[first] : ends[last]], (ends[first : last + 1] - ends[first]).astype(np.int64)
         first = last

@@ -21,8 +21,8 @@ from callscape.llm.shingles import BYTE, U, mix, powers, slices
 BITS, FACTORS, FEATURES = 22, 8, 2048
 #: Of so many terms, those that the most rows hold, all pairs are looked at; the terms of the PAIRS best ones are kept besides, if they say more than PAIR_Z.
 PAIRED, PAIRS, PAIR_Z = 4096, 256, 6.0
-#: Bytes of a text whose terms are found at once, up to the end of a word.
-PIECE = 1 << 21
+#: Bytes of texts, or of a longer text up to the end of a word, whose terms are found at once.
+PIECE = 1 << 18
 STEMS = (4, 5, 6)
 #: Rows of either label that the model is fitted on at most.
 PER_CLASS = 3000
@@ -202,7 +202,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, shift: float = 0.0, rounds: int =
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, data, offsets in slices(batch.column("text")):
+        for first, last, data, offsets in slices(batch.column("text"), PIECE):
             term, text = terms(data, offsets)
             key = np.unique(text << BITS | term)
             begin = np.searchsorted(key >> BITS, np.arange(last - first + 1))
@@ -219,12 +219,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     return fit(rows, got.column("y").to_numpy().astype(np.float64), shift)
 
 
-def _score(machine: Machine):
+def _score(machine: Machine, nth: int | None = None):
+    """A column with the scores of the texts in the last column (field nth of it, if given) beside the others (all of them, if so)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column(batch.num_columns - 1)):
-                kept = [batch.column(i).slice(first, last - first) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(machine.score(data, offsets))], names=[*batch.schema.names[:-1], "score"])
+            last_column = batch.column(batch.num_columns - 1)
+            texts, beside = (last_column, batch.num_columns - 1) if nth is None else (last_column.field(nth), batch.num_columns)
+            for first, last, data, offsets in slices(texts, PIECE):
+                kept = [batch.column(i).slice(first, last - first) for i in range(beside)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(machine.score(data, offsets))], names=[*batch.schema.names[:beside], "score"])
 
     return run
 
@@ -250,7 +254,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     machine = train(docs, labels)
     if not len(machine.index):
         return docs
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kind = rows.schema["row"].dataType
-    scored = rows.mapInArrow(_score(machine), T.StructType([T.StructField("row", kind), T.StructField("score", T.DoubleType())]))
+    scored = rows.mapInArrow(_score(machine, docs.columns.index("text")), T.StructType([T.StructField("row", kind), T.StructField("score", T.DoubleType())]))
     return scored.where(F.col("score") < CUT).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
