@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import re
 import threading
 import time
 
@@ -110,6 +111,47 @@ def test_bit_fields_meet_constants_by_substring(spark):
     assert found == [("SmallRing", 5000, False, "overflow"), ("Lonely", None, False, "unprotected"), ("Wide", None, True, "safe")]
 
 
+def _most_joined(df):
+    """The most rows that one join of df's last run gave."""
+
+    def walk(plan):
+        name = plan.nodeName()
+        if "Adaptive" in name:
+            yield from walk(plan.executedPlan())
+        elif "QueryStage" in name:
+            yield from walk(plan.plan())
+        else:
+            if "Join" in name and plan.metrics().contains("numOutputRows"):
+                yield plan.metrics().apply("numOutputRows").value()
+            children = plan.children()
+            for i in range(children.size()):
+                yield from walk(children.apply(i))
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_bit_fields_with_equal_first_letters_are_not_compared_in_pairs(spark):
+    n = 400
+    text = [x for i in range(n) for x in (f"static const int kMaxRing{i} = {i * 40};", f"using Ring{i}Field = BitField<uint32_t, 0, {10 + i % 8}>;", f"static_assert(sizeof(Ring{i}Field) < (1 << 9));" if i % 3 == 0 else "")]
+    text += ["using RING7field = BitField<uint32_t, 0, 14>;", "using Bits = BitField<uint32_t, 0, 14>;", "using a_Ring1Bits = BitField<uint32_t, 0, 14>;", "constexpr int A_RING1 = 3;", "constexpr int kBitsBits = 9;", "CHECK(xBITSx, 1 << 2, é_a_ring1bits_ring12field);"]
+    rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, line_no long, text string")
+    out = lines.bitfield_risks(rows)
+    got = {(r.line_no, r.name, r.constant_name, r.constant, r.protected) for r in out.collect()}
+    fields = [(r.line_no, r.name) for r in lines.search(rows, "bitfields").collect()]
+    known = sorted((r.line_no, r.name, r.numeric_value) for r in lines.constants(rows).collect())
+    asserted = [r.value.lower() for r in lines.search(rows, "assertions").collect() if "<<" in r.value]
+    expected = set()
+    for line_no, name in fields:
+        low, stem = name.lower(), re.sub("(?i)(?:field|bits)$", "", name).lower()
+        of = next(((c, v) for _, c, v in known if low in c.lower() or (len(stem) > 3 and stem in c.lower())), (None, None))
+        expected.add((line_no, name, *of, any(low in t for t in asserted)))
+    assert got == expected and len(got) == n + 3
+    # Joins are on equal keys alone, without pairs that a condition then drops, and give few rows.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "Contains(" in x]
+    assert _most_joined(out) <= 10 * n
+
+
 CODE = '#include "b.h"\nint helper(int x) {\n  if (x) {\n    return other(x);\n  }\n  return 0;\n}\nvoid A::go() {\n  B b;\n  b.run();\n  helper(1);\n}\n'
 HEAD = "class A {\n  void go();\n};\nclass B : public A {\n  virtual void run();\n};\n"
 
