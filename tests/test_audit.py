@@ -9,6 +9,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from callscape import audit_queries  # noqa: F401  registers its queries
+from callscape.more_queries import MORE
 from callscape.operators import consteval, graph, lines, paging, rank, resolver, retrieve, traverse
 from callscape.plans import catalog
 from callscape.sources import files
@@ -210,6 +212,16 @@ def test_files_are_read_and_sarif_is_parsed(spark, tmp_path):
     assert parts == {"d/0": (False, 3), "d/1": (False, 3), "d/2": (False, 3), "__root_files__": (False, 1), "vendor": (True, 1)}
 
 
+def test_the_whole_graph_is_exported_whatever_its_size(spark, tmp_path):
+    n = 1_000_001
+    part = "id AS p_partkey, 'a b' AS p_name, 'B' AS p_brand, 'T' AS p_type, 1 AS p_size"
+    spark.range(n).selectExpr(*part.split(", ")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2).selectExpr("id AS s_suppkey", "'s' AS s_name", "id - 0.5 AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = MORE["export_graph"](spark, str(tmp_path))
+    assert rows.distinct().count() == n + 1
+    assert rows.where("json LIKE '%\"p:1000000\"%'").first().json == '{"id":"p:1000000","name":"a_b_1000000","kind":"function"}'
+
+
 def test_catalog_tasks_and_held_tables(spark, tmp_path):
     def wait(poll, key):
         while poll(key)["status"] in ("indexing", "pending", "running"):
