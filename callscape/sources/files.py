@@ -137,19 +137,32 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return hashes(after).join(hashes(before), ["path", "hash"], "left_anti").select("path")
 
 
-# Files that a partition holds at most before it is split, and below which there is only one.
+# Source files that a partition holds at most before it is split, and below which there is only one; folders and endings that count for that.
 MOST_FILES, LEAST_FILES = 5000, 10_000
 THIRD_PARTY = ("third_party", "third-party", "thirdparty", "external", "vendor", "vendored", "deps")
+PLAN_SKIPPED = (
+    ".git", ".svn", ".hg", "node_modules", "vendor", "venv", ".venv", "__pycache__", "build", "out", "dist", "target", ".tox", ".mypy_cache", ".ruff_cache", ".pytest_cache",
+    "docs", "doc", "documentation", "test", "tests", "testing", "test_data", "testdata", "examples", "samples", "demo", "demos", "benchmarks", "perf",
+)
+PLAN_ENDINGS = (*(e for es in EXTENSIONS.values() for e in es), ".cairo", ".circom")
 
 
 def partitions(files: DataFrame, most: int = MOST_FILES, least: int = LEAST_FILES) -> DataFrame:
-    """(name, is_third_party, estimated_files): one partition, root, below `least` files; else by top folder, those above `most` by their children."""
+    """(name, is_third_party, estimated_files): one partition, root, below `least` source files; else by top folder, those above `most` by their children.
+
+    Source files have a known ending and lie in no skipped or dot folder; all files beside the top folders count too. estimated_files counts every file.
+    """
     parts = F.split("path", "/")
     deep = F.size(parts)
-    rows = files.select(F.when(deep > 1, parts[0]).otherwise("__root_files__").alias("top"), F.when(deep > 2, F.concat_ws("/", parts[0], parts[1])).otherwise(F.concat(parts[0], F.lit("/__root_files__"))).alias("child"))
-    counted = rows.groupBy("top", "child").agg(F.count("*").alias("n"))  # from here on a row a folder
-    tops = counted.groupBy("top").agg(F.sum("n").alias("of_top"))
-    total = counted.agg(F.sum("n").alias("total"))
+    passed = F.when(deep > 1, F.slice(parts, 1, deep - 1)).otherwise(parts)
+    skipped = F.exists(passed, lambda p: F.lower(p).isin(*PLAN_SKIPPED) | p.startswith("."))
+    source = ~skipped & ((deep == 1) | F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*PLAN_ENDINGS))
+    top = F.when(deep > 1, parts[0]).otherwise("__root_files__")
+    child = F.when(deep > 2, F.concat_ws("/", parts[0], parts[1])).otherwise(F.concat(parts[0], F.lit("/__root_files__")))
+    rows = files.select(top.alias("top"), child.alias("child"), source.alias("source"))
+    counted = rows.groupBy("top", "child").agg(F.count("*").alias("n"), F.count_if("source").alias("sources"))  # from here on a row a folder
+    tops = counted.groupBy("top").agg(F.sum("sources").alias("of_top"))
+    total = counted.agg(F.sum("sources").alias("total"))
     counted = counted.join(tops, "top").crossJoin(F.broadcast(total))  # one row
     split = (F.col("of_top") > most) & (F.col("top") != "__root_files__")
     name = F.when(F.col("total") < least, "root").when(split, F.col("child")).otherwise(F.col("top"))

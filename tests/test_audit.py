@@ -212,6 +212,19 @@ def test_files_are_read_and_sarif_is_parsed(spark, tmp_path):
     assert parts == {"d/0": (False, 3), "d/1": (False, 3), "d/2": (False, 3), "__root_files__": (False, 1), "vendor": (True, 1)}
 
 
+def test_only_source_files_make_a_plan_split(spark):
+    paths = ["a/x.py", "a/b/y.GO", "c/z.rs", "README.md", "a/notes.txt", "node_modules/m.js", "c/.cache/f.py", "c/Tests/t.py", ".hidden"]
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+
+    def plan(**limits):
+        return {r.name: r.estimated_files for r in files.partitions(listed, **limits).collect()}
+
+    assert plan(least=5) == {"root": 9}  # four count: three sources and the README
+    assert plan(least=4) == {"a": 3, "c": 3, "node_modules": 1, "__root_files__": 2}
+    assert plan(least=4, most=2) == {"a": 3, "c": 3, "node_modules": 1, "__root_files__": 2}  # two sources in a, one in c
+    assert plan(least=4, most=1) == {"a/__root_files__": 2, "a/b": 1, "c": 3, "node_modules": 1, "__root_files__": 2}
+
+
 def test_the_whole_graph_is_exported_whatever_its_size(spark, tmp_path):
     n = 1_000_001
     part = "id AS p_partkey, 'a b' AS p_name, 'B' AS p_brand, 'T' AS p_type, 1 AS p_size"
