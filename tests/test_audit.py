@@ -113,6 +113,23 @@ def test_bit_fields_meet_constants_by_substring(spark):
     assert found == [("SmallRing", 5000, False, "overflow"), ("Lonely", None, False, "unprotected"), ("Wide", None, True, "safe")]
 
 
+def test_no_bit_field_is_left_out_and_maxima_come_first(spark):
+    text = [
+        "using Tag = BitField<int, 0, 12>;", "using Whole = BitField<uint64_t, 0, 64>;", "using Sign = BitField<uint64_t, 0, 63>;", "using RingFieldBits = BitField<int, 0, 12>;",
+        "using Page = BitField<int, 0, 14>;", "using Page = BitField<int, 0, 14>;", "using Slot = BitField<int, 0, 14>;", "static_assert(sizeof(Tag) < (1 << 12));", "static const char* kPageName = 7;",
+        "constexpr int kMaxTag = 9000;", "constexpr int kMaxRing = 5000;", "constexpr int kMaxPage = 16000;", "constexpr int kMaxSlot = other();", "constexpr int kMaxSlot2 = 5;", "constexpr long kMaxSign = 9223372036854775807;",
+    ]
+    rows = spark.createDataFrame([("f", i // 2 if 4 <= i < 6 else i, t) for i, t in enumerate(text)], "file string, line_no long, text string")
+    found = [(r.name, r.bits, r.capacity, r.constant_name, r.constant, r.margin, r.margin_pct, r.protected, r.risk) for r in lines.bitfield_risks(rows).collect()]
+    page = ("Page", 14, 16384, "kMaxPage", 16000, 384, 2.3, False, "tight")
+    assert found == [
+        ("RingFieldBits", 12, 4096, "kMaxRing", 5000, -904, -22.1, False, "overflow"),
+        ("Sign", 63, None, "kMaxSign", 2**63 - 1, None, 0.0, False, "tight"), page, page,
+        ("Whole", 64, None, None, None, None, None, False, "unprotected"), ("Slot", 14, 16384, "kMaxSlot", None, None, None, False, "unprotected"),
+        ("Tag", 12, 4096, None, None, None, None, False, "safe"),
+    ]
+
+
 def _most_joined(df):
     """The most rows that one join of df's last run gave."""
 
