@@ -147,16 +147,17 @@ PLAN_SKIPPED = (
 PLAN_ENDINGS = (*(e for es in EXTENSIONS.values() for e in es), ".cairo", ".circom")
 
 
-def partitions(files: DataFrame, most: int = MOST_FILES, least: int = LEAST_FILES) -> DataFrame:
+def partitions(files: DataFrame, most: int = MOST_FILES, least: int = LEAST_FILES, every: bool = False) -> DataFrame:
     """(name, is_third_party, estimated_files): one partition, root, below `least` source files; else by top folder, those above `most` by their children.
 
-    Source files have a known ending and lie in no skipped or dot folder; all files beside the top folders count too. estimated_files counts every file.
+    Source files have a known ending and lie in no skipped or dot folder; all files beside the top folders count too. With `every`, the limits are for
+    all files. estimated_files counts every file.
     """
     parts = F.split("path", "/")
     deep = F.size(parts)
     passed = F.when(deep > 1, F.slice(parts, 1, deep - 1)).otherwise(parts)
     skipped = F.exists(passed, lambda p: F.lower(p).isin(*PLAN_SKIPPED) | p.startswith("."))
-    source = ~skipped & ((deep == 1) | F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*PLAN_ENDINGS))
+    source = F.lit(every) | ~skipped & ((deep == 1) | F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*PLAN_ENDINGS))
     top = F.when(deep > 1, parts[0]).otherwise("__root_files__")
     child = F.when(deep > 2, F.concat_ws("/", parts[0], parts[1])).otherwise(F.concat(parts[0], F.lit("/__root_files__")))
     rows = files.select(top.alias("top"), child.alias("child"), source.alias("source"))

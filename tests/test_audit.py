@@ -242,6 +242,15 @@ def test_only_source_files_make_a_plan_split(spark):
     assert plan(least=4, most=1) == {"a/__root_files__": 2, "a/b": 1, "c": 3, "node_modules": 1, "__root_files__": 2}
 
 
+def test_split_partitions_counts_every_file(spark, tmp_path):
+    # 40 files in src, all .txt, and 70 .go files in node_modules: no source file at all
+    doc = "CAST({0} AS BIGINT) AS doc_id, 'src' AS source, 'en' AS lang, 't' AS text"
+    ids = [i for i in range(5, 3000, 7) if all(i % p for p in (17, 19, 23))][:40], [i for i in range(6, 90_000, 7) if i % 17 == 0 and i % 23][:70]
+    spark.createDataFrame([(i,) for i in ids[0] + ids[1]], "i long").selectExpr(*doc.format("i").split(", ")).write.parquet(f"{tmp_path}/documents.parquet")
+    parts = {r.name: r.estimated_files for r in MORE["split_partitions"](spark, str(tmp_path)).collect()}
+    assert parts == {"src/en": 40, "node_modules/src": 70, "__root_files__": 2}
+
+
 def test_the_whole_graph_is_exported_whatever_its_size(spark, tmp_path):
     n = 1_000_001
     part = "id AS p_partkey, 'a b' AS p_name, 'B' AS p_brand, 'T' AS p_type, 1 AS p_size"
